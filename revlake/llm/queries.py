@@ -54,6 +54,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,7 +81,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op3_quality, op4_line_dedup, op5_packing, op6_jaccard_join, op8_sentencepiece, op9_pii, op10_html_extract)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op3_quality, op4_line_dedup, op5_packing, op6_jaccard_join, op7_embedding_dedup, op8_sentencepiece, op9_pii, op10_html_extract)}
 
 
 #: Lines of 8 words or more are near within one word edit; of equal and near lines the earliest stays.
