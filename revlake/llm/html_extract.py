@@ -125,25 +125,27 @@ class Page:
         self._pop_to(0)
 
 
-# A shape is [key, [child shapes]]; a wrapper node is [key, optional, repeated, [child nodes]].
+# A shape is [key, [child shapes], repeated]; a wrapper node is [key, optional, repeated, [child nodes]].
 
 
 def shape_of(events: list[tuple[int, str]]) -> list:
     """The page's token tree with adjacent repeats of equal shape folded to one."""
-    root: list = ["", []]
+    root: list = ["", [], False]
     path = [root]
     for depth, key in events:
         del path[depth + 1 :]
-        node: list = [key, []]
+        node: list = [key, [], False]
         path[-1][1].append(node)
         path.append(node)
 
     def fold(node: list) -> list:
         out: list = []
         for child in map(fold, node[1]):
-            if not out or out[-1] != child:
+            if out and out[-1][:2] == child[:2]:
+                out[-1][2] = True
+            else:
                 out.append(child)
-        return [node[0], out]
+        return [node[0], out, False]
 
     return fold(root)
 
@@ -157,7 +159,7 @@ def wrap(shape: list) -> list:
             children[-1][2] = True
         else:
             children.append(child)
-    return [shape[0], False, False, children]
+    return [shape[0], False, shape[2], children]
 
 
 def merge(left: list, right: list) -> list:
