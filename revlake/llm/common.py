@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Odd multipliers for combining word hashes; any odd 64-bit constants do.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 
 class WordHashes(dict):
@@ -27,6 +29,31 @@ class WordHashes(dict):
         return h
 
 
+class Memo:
+    """Values of strings, computed once per string for those not seen lately; kept per worker process, in two generations.
+
+    When the young generation holds `limit` strings it becomes the old one, so memory is bounded and strings in use stay.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 400_000):
+        self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
+
+    def values(self, keys: list[str]) -> list:
+        young = self.young
+        if len(young) >= self.limit:
+            self.old, self.young = young, {}
+            young = self.young
+        missing = [k for k in set(keys) if k not in young]
+        new = []
+        for k in missing:
+            if (v := self.old.get(k)) is not None:
+                young[k] = v
+            else:
+                new.append(k)
+        young.update(zip(new, self.compute(new), strict=True))
+        return list(map(young.__getitem__, keys))
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8 bytes; bytes.split() has exactly that separator set."""
     return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
@@ -95,10 +122,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="revlake-checkpoint-"))
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+def materialize(df: DataFrame, release: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    release: let the driver collect its garbage, on which Spark deletes the shuffle files that nothing refers to any more.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    out = df.checkpoint()
+    if release:
+        spark = df.sparkSession
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def crc_mod(column: str, mod: int):

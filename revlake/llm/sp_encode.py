@@ -16,18 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Memo
+
 SPACE = "▁"
-MEMO_SEGMENTS = 300_000
+MEMO_PAIRS = 300_000
+
+
+_ENCODERS: dict[str, BacktrackingEncoder] = {}  # one per file in a worker process, so that its memo serves later tasks
 
 
-class BacktrackingEncoder(dict):
-    """Encoder of one model file; the dict is the memo from segments to (ids, decoded bytes)."""
+class BacktrackingEncoder:
+    """Encoder of one model file, with a memo from segments to (ids, ids as text, decoded bytes)."""
 
     def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
 
-        super().__init__()
+        self.memo = Memo(lambda segments: list(map(self._segment, segments)))
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.texts = [sp.id_to_piece(i) for i in range(n)]
@@ -56,6 +61,12 @@ class BacktrackingEncoder(dict):
         self.automaton.make_automaton()
         self.compatible: dict[tuple[str, str], bool] = {}
 
+    @staticmethod
+    def of(path: str) -> BacktrackingEncoder:
+        if path not in _ENCODERS:
+            _ENCODERS[path] = BacktrackingEncoder(path)
+        return _ENCODERS[path]
+
     def merge(self, text: str) -> list[str]:
         """Merges adjacent symbols by descending score, leftmost first, as the definition has it."""
         parts, scores = list(text), self.scores
@@ -74,7 +85,7 @@ class BacktrackingEncoder(dict):
         """Whether re-merging the joint text of two pieces gives back exactly the two (left empty: right by itself)."""
         got = self.compatible.get((left, right))
         if got is None:
-            if len(self.compatible) >= MEMO_SEGMENTS:
+            if len(self.compatible) >= MEMO_PAIRS:
                 self.compatible.clear()
             got = self.compatible[left, right] = self.merge(left + right) == [p for p in (left, right) if p]
         return got
@@ -117,9 +128,7 @@ class BacktrackingEncoder(dict):
                 return self.merge(text)
         return out
 
-    def __missing__(self, segment: str) -> tuple[tuple[int, ...], bytes]:
-        if len(self) >= MEMO_SEGMENTS:
-            self.clear()
+    def _segment(self, segment: str) -> tuple[tuple[int, ...], str, bytes]:
         ids: list[int] = []
         for piece in self.pieces(segment):
             if piece in self.ids:
@@ -128,14 +137,14 @@ class BacktrackingEncoder(dict):
                 ids += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 ids.append(self.unknown)
-        self[segment] = got = (tuple(ids), self.decode_bytes(ids))
-        return got
+        return tuple(ids), ",".join(map(str, ids)), self.decode_bytes(ids)
 
-    def _split(self, text: str) -> list[str]:
-        return self.segments(SPACE + text.replace(" ", SPACE)) if text else []
+    def parts(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """Per segment of a text its ids, the ids as text, and the bytes they decode to."""
+        return self.memo.values(self.segments(SPACE + text.replace(" ", SPACE))) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for s in self._split(text) for i in self[s][0]]
+        return [i for ids, _, _ in self.parts(text) for i in ids]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.texts[i].replace(SPACE, " ").encode() for i in ids)
@@ -150,8 +159,8 @@ class BacktrackingEncoder(dict):
 
     def both(self, text: str) -> tuple[list[int], str]:
         """Ids of a text, and the text decoded from them."""
-        got = [self[s] for s in self._split(text)]
-        return [i for ids, _ in got for i in ids], self._text(b"".join(b for _, b in got))
+        got = self.parts(text)
+        return [i for ids, _, _ in got for i in ids], self._text(b"".join([b for _, _, b in got]))
 
 
 def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = True) -> DataFrame:
@@ -163,14 +172,14 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches):
-        encoder = BacktrackingEncoder(model_path)
-        number = [str(i) for i in range(len(encoder.texts))]
+        encoder = BacktrackingEncoder.of(model_path)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                ids, decoded = encoder.both(text or "")
-                row = (len(ids), hashlib.sha256(",".join([number[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                rows.append(row if digests_only else (*row, ids, decoded))
+                parts = encoder.parts(text or "")
+                decoded = encoder._text(b"".join([p[2] for p in parts]))
+                row = (sum([len(p[0]) for p in parts]), hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+                rows.append(row if digests_only else (*row, [i for p in parts for i in p[0]], decoded))
             columns = list(zip(*rows, strict=True)) or [[]] * (3 if digests_only else 5)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
