@@ -69,60 +69,64 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """Lines that share an anchor with another line: whether a prefix and a suffix, and how many words those have."""
+    """Lines that share an anchor with a line of as many words, of one fewer or of one more, and where their edit can be.
+
+    After a shared prefix of w words the edit is at word w or later, before a shared suffix earlier than word n - w; per kind
+    of partner `after` and `before` bound the words whose deletion can make equal variants.
+    """
     h, g = _half(F.col("n")), _half(F.col("n") - 1)
     kinds = F.array(*(F.struct(F.col(c).alias("key"), F.lit(c[0]).alias("side"), (h if c[1] == "1" else g).alias("words")) for c in ("p1", "s1", "p2", "s2")))
-    rows = distinct.where("p1 is not null").select("h1", "h2", "place", "n", F.explode(kinds).alias("a")).where("a.key is not null").select("h1", "h2", "place", "n", "a.key", "a.side", "a.words")
-    shared = rows.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key")
-    # With a shared prefix of w words the edit comes after it, with a shared suffix before it.
-    return rows.join(shared, "key").groupBy("h1", "h2").agg(
-        F.first("place").alias("place"),
-        F.first("n").alias("n"),
-        F.coalesce(F.min(F.when(F.col("side") == "p", F.col("words"))), F.first("n")).alias("after"),
-        F.coalesce(F.max(F.when(F.col("side") == "s", F.col("n") - F.col("words"))), F.lit(0)).alias("before"),
-    )
+    rows = distinct.where("p1 is not null").select("h1", "h2", "n", F.explode(kinds).alias("a")).where("a.key is not null").select("h1", "h2", "n", "a.key", "a.side", "a.words")
+    sizes = rows.groupBy("key", "n").agg(F.count("*").alias("lines"))
+    partner = lambda n, kind: F.struct(n.cast("int").alias("n"), F.lit(kind).alias("kind"))
+    partners = sizes.select("key", F.explode(F.array_compact(F.array(F.when(F.col("lines") > 1, partner(F.col("n"), "same")), partner(F.col("n") + 1, "shorter"), partner(F.col("n") - 1, "longer")))).alias("p")).select("key", "p.n", "p.kind").groupBy("key", "n").agg(F.collect_set("kind").alias("kinds"))
+    after = lambda kind: F.coalesce(F.min(F.when((F.col("side") == "p") & F.array_contains("kinds", kind), F.col("words"))), F.first("n")).alias(f"after_{kind}")
+    before = lambda kind: F.coalesce(F.max(F.when((F.col("side") == "s") & F.array_contains("kinds", kind), F.col("n") - F.col("words"))), F.lit(0)).alias(f"before_{kind}")
+    found = rows.join(partners, ["key", "n"]).groupBy("h1", "h2").agg(after("same"), before("same"), after("shorter"), before("shorter"), F.max(F.array_contains("kinds", "longer")).alias("longer"))
+    return found.join(distinct.select("h1", "h2", "place", "n"), ["h1", "h2"])
+
+
+BOUNDS = ["after_same", "before_same", "after_shorter", "before_shorter", "longer"]
 
 
 def _with_text(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    wanted = candidates.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct("h1", "h2", "place", "n", "after", "before")).alias("wanted"))
+    wanted = candidates.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct("h1", "h2", "place", "n", *BOUNDS)).alias("wanted"))
     texts = _keyed(docs, id_col, text_col).where("text is not null").withColumnsRenamed({"doc": "d", "th": "t"})
     found = wanted.join(texts, wanted["doc"].eqNullSafe(texts["d"]) & (wanted["th"] == texts["t"]))
     found = found.select("wanted", F.split("text", "\n", -1).alias("lines")).select(F.explode("wanted").alias("w"), "lines")
     return found.select("w.*", F.get("lines", F.col("w.place.pos")).alias("line")).dropDuplicates(["h1", "h2"])
 
 
-def _variants(lines: DataFrame, min_words: int) -> DataFrame:
-    """(kind, n, at, key, role) of each line: one word deleted (replace: same place; shorter: as a line of n - 1 words), and whole."""
-    words = lines.repartition(F.col("h1"), F.col("h2")).select("h1", "h2", "place", "n", "after", "before", F.posexplode(F.split("line", " ", -1)).alias("i", "w"))
+def _variants(lines: DataFrame) -> DataFrame:
+    """(h1, h2, key, short) of each line: with one word deleted, as a line of n words and as one of n - 1, and whole."""
+    words = lines.repartition(F.col("h1"), F.col("h2")).select("h1", "h2", "n", *BOUNDS, F.posexplode(F.split("line", " ", -1)).alias("i", "w"))
     by = "partition by h1, h2"
-    words = words.selectExpr("h1", "h2", "place", "n", "after", "before", "i", "xxhash64(w, i) g", "xxhash64(w, i - 1) s")
+    words = words.selectExpr("h1", "h2", "n", *BOUNDS, "i", "xxhash64(w, i) g", "xxhash64(w, i - 1) s")
     words = words.selectExpr(
-        "h1", "h2", "place", "n", "after", "before", "i", "g",
+        "h1", "h2", "n", *BOUNDS, "i", "g",
         f"bit_xor(g) over ({by}) whole",
-        f"coalesce(bit_xor(g) over ({by} order by i rows between unbounded preceding and 1 preceding), 0) left",
-        f"coalesce(bit_xor(s) over ({by} order by i rows between 1 following and unbounded following), 0) right",
+        f"bit_xor(g) over ({by} order by i rows between unbounded preceding and current row) ^ g left",
+        f"bit_xor(s) over ({by}) ^ bit_xor(s) over ({by} order by i rows between unbounded preceding and current row) right",
     )
-    edits = F.expr("i >= after or i < before")
-    keys = F.array_compact(
-        F.array(
-            F.when(edits, F.struct(F.lit("replace").alias("kind"), F.col("n").alias("words"), F.col("i").alias("at"), F.expr("whole ^ g").alias("key"), F.lit(False).alias("short"))),
-            F.when(edits & (F.col("n") > min_words), F.struct(F.lit("insert").alias("kind"), (F.col("n") - 1).alias("words"), F.lit(0).alias("at"), F.expr("left ^ right").alias("key"), F.lit(False).alias("short"))),
-            F.when(F.col("i") == 0, F.struct(F.lit("insert").alias("kind"), F.col("n").alias("words"), F.lit(0).alias("at"), F.col("whole").alias("key"), F.lit(True).alias("short"))),
-        )
-    )
-    return words.select("h1", "h2", "place", F.explode(keys).alias("k")).select("h1", "h2", "place", "k.*")
+    keys = F.expr("""array_compact(array(
+        if(i >= after_same or i < before_same, struct(xxhash64('replace', n, i, whole ^ g) as key, false as short), null),
+        if(i >= after_shorter or i < before_shorter, struct(xxhash64('insert', n - 1, left ^ right) as key, false as short), null),
+        if(i = 0 and longer, struct(xxhash64('insert', n, whole) as key, true as short), null)))""")
+    return words.select("h1", "h2", F.explode(keys).alias("k")).select("h1", "h2", "k.key", "k.short")
 
 
-def near_duplicates(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def near_duplicates(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2) of distinct lines that have an earlier line within one word edit."""
-    lines = materialize(_with_text(_candidates(distinct), docs, id_col, text_col))
-    variants = _variants(lines, min_words)
-    key = ["kind", "words", "at", "key"]
+    lines = materialize(_with_text(_candidates(distinct), docs, id_col, text_col), release=True)
+    variants = materialize(_variants(lines), release=True)
+    # Keys of more than one line; the insert keys among them must have a whole line, which is at most one.
+    shared = variants.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+    rows = variants.join(shared, "key").join(lines.select("h1", "h2", "place"), ["h1", "h2"])
     line = F.struct("place", "h1", "h2")
-    groups = variants.groupBy(*key).agg(F.min(F.when(F.col("short"), line)).alias("short_first"), F.min(F.when(~F.col("short"), line)).alias("long_first"), F.count("*").alias("rows")).where("rows > 1 and (kind = 'replace' or short_first is not null and long_first is not null)")
-    joined = variants.join(groups, key)
-    first = F.when((F.col("kind") == "replace") | F.col("short"), F.col("long_first")).otherwise(F.col("short_first"))
-    pairs = joined.select("h1", "h2", "place", first.alias("first")).where("first.place < place").select("h1", "h2", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2")).distinct()
+    groups = rows.groupBy("key").agg(F.min(F.when(F.col("short"), line)).alias("whole"), F.min(F.when(~F.col("short"), line)).alias("cut"))
+    # Lines of one replace key are all near each other; of an insert key each is near the whole line. The rest fails the check.
+    first = F.when(F.col("short") | F.col("whole").isNull(), F.col("cut")).otherwise(F.col("whole"))
+    pairs = rows.join(groups, "key").select("h1", "h2", "place", first.alias("first")).where("first.place < place").select("h1", "h2", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2")).distinct()
     texts = lines.select("h1", "h2", F.split("line", " ", -1).alias("a"))
     firsts = lines.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.split("line", " ", -1).alias("b"))
     return pairs.join(texts, ["h1", "h2"]).join(firsts, ["f1", "f2"]).where(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
@@ -146,8 +150,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     get the same result; equal ids with other texts are other documents. Empty tables give an empty result; columns of docs
     may have any names but n_lines, dropped and deduped_text.
     """
-    distinct = materialize(distinct_lines(docs, id_col, text_col, min_words))
-    kept = distinct.join(near_duplicates(distinct, docs, id_col, text_col, min_words), ["h1", "h2"], "left_anti")
+    distinct = materialize(distinct_lines(docs, id_col, text_col, min_words), release=True)
+    near = materialize(near_duplicates(distinct, docs, id_col, text_col), release=True)
+    kept = distinct.join(near, ["h1", "h2"], "left_anti")
     places = kept.groupBy(F.col("place.doc").alias("__doc"), F.col("place.th").alias("__th")).agg(F.collect_list("place.pos").alias("__kept"))
     rows = docs.withColumn("__hash", F.xxhash64(text_col))
     joined = rows.join(places, rows[id_col].eqNullSafe(places["__doc"]) & (rows["__hash"] == places["__th"]), "left")
