@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes in edges (a, b), component being the smallest node reachable.
 
@@ -16,19 +20,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes are joined as skewed keys, so no neighbourhood is gathered in one place. Lineage is cut by reliable checkpoints.
     """
     current = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
-    while True:
+    state = _state(current)
+    while state[0]:
+        # Large star: every larger neighbour of a node gets the smallest of the node and its neighbours.
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # Large star: every larger neighbour of a node gets the node's minimum.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # Small star: a node and its smaller neighbours get the minimum of them.
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Small star: a node and its smaller neighbours get the smallest of these.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        current = materialize(small)
-        now = tuple(current.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
-        if now == state:
+        small = large.join(least.hint("merge"), "a")
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        current = materialize(small, release=True)
+        before, state = state, _state(current)
+        if before == state:
             break
-        state = now
-    return current.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.col("m").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

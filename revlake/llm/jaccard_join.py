@@ -6,14 +6,16 @@ least ceil(t n) of them, so it also holds one of the first n - ceil(t n) + 1: th
 two linked documents meet in one. Shingles that no other document holds need no region, and a document of whose
 shingles fewer than ceil(t n) are shared has no partner at all and is in none.
 
-Within a region a document is the next pivot: the distances of all others to it are computed once per pair of texts. Those
-within 1 - t are linked. By the triangle inequality an unlinked document can only be near a linked one whose distance to the
-pivot is within 1 - t of its own; what lies in that window, and the unlinked ones, form the region of the next round. Regions
-of at most `small` documents are finished by comparing all that are not connected yet.
+Within a region the document with the smallest id is the next pivot, and the distance of each other document to it is computed
+once per pair of texts. Regions whose documents are thereby connected are done. The others, joined where they share
+documents, form clusters: the largest component of a cluster is one side, and each document outside it is a site that is compared
+with the cluster's documents of other components. Sites skip documents that the triangle inequality rules out
+through their pivots. Any link not yet known lies in an open region, between a site and another document, so none is lost.
 
 Scale: shingle counts are exact over all documents. Tasks exchange sorted hash arrays, one binary per task and key range, so
 no shingle, however frequent, makes a large partition; equal sets are folded first; a group of near copies is linked to its pivots
-and never expanded to pairs. Nothing is broadcast or collected.
+and never expanded to pairs. Clusters are dealt in blocks of documents to which their sites are copied. Nothing is broadcast or
+collected.
 """
 
 from __future__ import annotations
@@ -155,6 +157,46 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("common") / union).alias("d"), (F.col("common") * 100 >= union * percent).alias("linked"))
 
 
+def _compare(percent: int) -> Callable:
+    """Block of a cluster: links between its sites and its documents in other components."""
+    reach = 1 - percent / 100 + 1e-9
+
+    def kernel(key, table):
+        out: list[tuple[int, int]] = []
+        role = table.column("site").to_numpy(zero_copy_only=False)
+        doc, n, comp, pivot, d = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "n", "component", "pivot", "d"))
+        lists = table.column("tokens").combine_chunks()
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        members = np.flatnonzero(~role)
+        if len(members):
+            tokens = np.concatenate([flat[bounds[i] : bounds[i + 1]] for i in members])
+            of = np.repeat(np.arange(len(members)), [bounds[i + 1] - bounds[i] for i in members])
+            order = np.argsort(tokens, kind="stable")
+            tokens, of = tokens[order], of[order]
+            for i in np.flatnonzero(role):
+                own = np.sort(flat[bounds[i] : bounds[i + 1]])
+                low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+                hits = np.concatenate([of[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b] or [of[:0]])
+                common = np.bincount(hits, minlength=len(members))
+                apart = (pivot[members] == pivot[i]) & (np.abs(d[members] - d[i]) > reach)
+                linked = (common * 100 >= (n[members] + n[i] - common) * percent) & (comp[members] != comp[i]) & ~apart
+                out += [(int(doc[i]), int(doc[j])) for j in members[linked]]
+        columns = list(zip(*out, strict=True)) or [(), ()]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+    return kernel
+
+
+def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (doc, component) of documents that are not their own component, after joining the components of links (a, b)."""
+    a, b = label.select(F.col("doc").alias("a"), F.col("component").alias("ca")), label.select(F.col("doc").alias("b"), F.col("component").alias("cb"))
+    linked = links.join(a, "a", "left").join(b, "b", "left")
+    joined = connected_components(linked.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("doc", F.coalesce("to", "component").alias("component"))
+    fresh = joined.select(F.col("node").alias("doc"), "component").join(label.select("doc"), "doc", "left_anti")
+    return materialize(moved.unionByName(fresh).where("doc <> component"), release=True)
+
+
 def jaccard_components(
     docs: DataFrame,
     *,
@@ -162,7 +204,7 @@ def jaccard_components(
     text_col: str = "text",
     shingle_words: int = 5,
     percent: int = 80,
-    small: int = 48,
+    block: int = 128,
     chunk_tokens: int = 1_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link when 100 * intersection >= percent * union.
@@ -171,52 +213,39 @@ def jaccard_components(
     null id links with nothing and has a null component. Empty tables give an empty result; extra columns are not read.
     """
     parts = min(parts_for(docs), 65_535)
-    reach = 1 - percent / 100 + 1e-9
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = read.mapInArrow(_send(parts, shingle_words, chunk_tokens), "part int, chunk long, head boolean, docs binary, tokens binary")
     counted = sent.groupBy("part").applyInArrow(_count, "chunk long, head boolean, docs binary, tokens binary, counts binary")
-    nodes = materialize(counted.groupBy("chunk").applyInArrow(_assemble(percent), "doc_id long, n long, s1 long, s2 long, tokens array<long>, regions array<long>"))
+    nodes = materialize(counted.groupBy("chunk").applyInArrow(_assemble(percent), "doc_id long, n long, s1 long, s2 long, tokens array<long>, regions array<long>"), release=True)
 
     able = nodes.where("size(regions) > 0 and doc_id is not null")
     same = able.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     copies = able.select("doc_id", "n", "s1", "s2").join(same, ["n", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    sets = materialize(able.join(same.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["n", "s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).select("doc_id", "n", "tokens", "regions"))
+    sets = materialize(able.join(same.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["n", "s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens", "regions"), release=True)
 
     members = sets.select(F.explode("regions").alias("region"), F.col("doc_id").alias("doc"))
     pivots = members.groupBy("region").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot <> last").select("region", "pivot")
     active = materialize(members.join(pivots.select("region"), "region"))
-    links = copies
-    known = None  # pairs compared so far
-    while True:
-        pivots = active.groupBy("region").agg(F.min("doc").alias("pivot"), F.count("*").alias("size"))
-        inside = active.join(pivots, "region")
-        pairs = inside.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-        if known is not None:
-            # Small regions: all that are not connected yet, each pair once over all regions.
-            few = inside.where(F.col("size") <= small).select("region", "doc", "component")
-            other = few.select("region", F.col("doc").alias("b"), F.col("component").alias("other"))
-            rest = few.withColumnRenamed("doc", "a").join(other, "region").where("a > b and component <> other").select("a", "b")
-            pairs = pairs.unionByName(rest).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        compared = materialize(_distances(pairs, sets, percent))
-        known = compared if known is None else materialize(known.unionByName(compared))
-        links = links.unionByName(compared.where("linked").select("a", "b"))
-        links = materialize(links)
-        component = materialize(connected_components(links))
-        labels = component.withColumnsRenamed({"node": "doc"})
-        # Next round: regions that still hold several components. Finished: small regions after their pairs were compared.
-        state = inside.select("region", "doc", "pivot", "size").join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        spread = state.groupBy("region").agg((F.min("component") != F.max("component")).alias("open"), F.first("size").alias("members"))
-        done = F.col("members") > small if "component" in active.columns else F.lit(True)
-        state = state.join(spread.where(F.col("open") & done).select("region"), "region", "left_semi")
-        measured = known.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d", "linked")
-        state = state.join(measured, ["doc", "pivot"], "left").where("doc <> pivot")
-        # Window: linked documents stay only if an unlinked one of another component may be near them.
-        pivot_component = labels.select(F.col("doc").alias("pivot"), F.col("component").alias("pivot_component"))
-        state = state.join(pivot_component, "pivot", "left").withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
-        nearest = state.where("not linked and component <> pivot_component").groupBy("region").agg(F.min("d").alias("nearest"))
-        state = state.join(nearest, "region", "left").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - reach))
-        active = materialize(state.select("region", "doc", "component"))
-        if active.isEmpty():
-            break
-    label = component.select(F.col("node").alias("doc_id"), "component")
+    label = copies.select(F.col("a").alias("doc"), F.col("b").alias("component"))
+    inside = active.join(active.groupBy("region").agg(F.min("doc").alias("pivot")), "region")
+    pairs = inside.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    compared = materialize(_distances(pairs, sets, percent), release=True)
+    label = _relabel(label, compared.where("linked").select("a", "b"))
+
+    # Open regions: those that still hold several components. Regions that share documents make a cluster.
+    state = inside.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    spread = state.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region")
+    opened = materialize(state.join(spread, "region", "left_semi").select("doc", "pivot", "component").distinct())
+    cluster = connected_components(opened.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    nearest = compared.groupBy(F.col("a").alias("doc")).agg(F.min_by("b", "d").alias("pivot"), F.min("d").alias("d"))
+    held = opened.select("doc", "component").distinct().join(cluster, "doc").join(nearest, "doc", "left")
+    parts_of = held.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    largest = parts_of.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("docs"))
+    held = held.join(largest, "cluster").withColumn("blocks", F.ceil(F.col("docs") / block).cast("int")).join(sets.select(F.col("doc_id").alias("doc"), "n", "tokens"), "doc")
+    columns = ["cluster", "doc", "component", "pivot", "d", "n", "tokens"]
+    members = held.select(*columns, F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.lit(False).alias("site"))
+    sites = held.where("component <> largest").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("site"))
+    links = members.unionByName(sites).groupBy("cluster", "block").applyInArrow(_compare(percent), "a long, b long")
+    label = _relabel(label, links)
+    label = label.withColumnRenamed("doc", "doc_id").groupBy("doc_id").agg(F.min("component").alias("component"))
     return nodes.select("doc_id", "n").join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

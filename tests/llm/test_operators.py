@@ -232,8 +232,8 @@ def components(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_jaccard(spark, docs, odd, small):
+@pytest.mark.parametrize("block", [128, 3])
+def test_jaccard(spark, docs, odd, block):
     from revlake.llm.jaccard_join import jaccard_components
 
     rng = np.random.default_rng(5)
@@ -248,13 +248,13 @@ def test_jaccard(spark, docs, odd, small):
             rows.append((1000 + 20 * g + k, " ".join(text)))
             rows.append((2000 + 20 * g + k, " ".join([*passage, *rng.choice(words, 10 + 5 * k)])))
     rows += [(5000 + i, " ".join(["common line of words here"] + [f"z{j}" for j in range(i % 7)])) for i in range(40)]
-    got = {r.doc_id: r for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small=small).collect()}
+    got = {r.doc_id: r for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block).collect()}
     sets = {d: shingles(t) for d, t in rows}
     ids = sorted(sets)
     pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components(ids, pairs)
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == {d: (len(sets[d]), want[d]) for d in ids}
-    if small == 48:
+    if block == 128:
         rows = jaccard_components(odd).collect()
         assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2)} == {1}
         assert [r.component_id for r in rows if r.doc_id is None] == [None]
