@@ -38,7 +38,7 @@ def nearest_join(points: DataFrame, keys: list[str], id_col: str, x: str, y: str
     """
     a = points.select(*keys, F.col(id_col).alias("id"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     b = points.select(*keys, F.col(id_col).alias("neighbour"), F.col(x).alias("__u"), F.col(y).alias("__v"))
-    pairs = a.join(b, keys).withColumn("d", F.hypot(F.col("__x") - F.col("__u"), F.col("__y") - F.col("__v")))
+    pairs = a.join(b, keys).withColumn("d", F.sqrt((F.col("__x") - F.col("__u")) * (F.col("__x") - F.col("__u")) + (F.col("__y") - F.col("__v")) * (F.col("__y") - F.col("__v"))))
     order = Window.partitionBy(*keys, "id").orderBy((F.col("id") != F.col("neighbour")).cast("int"), "d", "neighbour")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select(*keys, "id", "neighbour", "rank", "d")
 
