@@ -82,15 +82,20 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_key: int, k: int
 class Table:
     """Shards [low, high) of the model: exact word counts and the filter."""
 
-    def __init__(self, shards: list[tuple], parts: int, k: int):
-        shards = sorted(shards, key=lambda s: s[0])
-        self.parts, self.k, self.low, self.high = parts, k, shards[0][0], shards[-1][0] + 1
-        self.words = np.concatenate([np.frombuffer(s[1], "<u8") for s in shards])
-        self.counts = np.concatenate([np.frombuffer(s[2], "<i8") for s in shards])
-        self.bytes = np.concatenate([np.frombuffer(s[3], np.uint8) for s in shards])
-        self.sizes = np.array([len(s[3]) * 8 for s in shards], np.uint64)
+    def __init__(self, shards: tuple, parts: int, k: int):
+        """shards: joined(...) of a group; the arrays are used in place, a worker holds one copy."""
+        self.low, self.words, self.counts, self.bytes, self.sizes = shards
+        self.parts, self.k, self.high = parts, k, self.low + len(self.sizes)
         self.offsets = np.r_[0, np.cumsum(self.sizes)[:-1]].astype(np.uint64)
 
+    @staticmethod
+    def joined(rows: list[tuple[int, bytes, bytes, bytes]], low: int, high: int) -> tuple:
+        """(low, words, counts, filter bytes, filter bits per part) of the parts low .. high - 1; parts without keys have no bits."""
+        sizes = np.zeros(high - low, np.uint64)
+        for part, _, _, bits in rows:
+            sizes[part - low] = len(bits) * 8
+        return (low, np.frombuffer(b"".join(r[1] for r in rows), "<u8"), np.frombuffer(b"".join(r[2] for r in rows), "<i8"), np.frombuffer(b"".join(r[3] for r in rows), np.uint8), sizes)
+
     def count(self, w: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(w), np.int64)
@@ -101,6 +106,7 @@ class Table:
         """The highest level up to which every membership probe hits."""
         out, part = np.zeros(len(h), np.uint8), part_of(h, self.parts).astype(np.int64)
         alive = np.flatnonzero((part >= self.low) & (part < self.high))
+        alive = alive[self.sizes[part[alive] - self.low] > 0]
         level = 0
         while len(alive) and level < 63:
             level += 1
@@ -143,7 +149,7 @@ def count_shards(docs: DataFrame, text_col: str, parts: int, bits_per_key: int,
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for lo, hi in slices([len(t or "") for t in texts], 1 << 21):
+            for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
                 w, n = tokens_of(memo, texts[lo:hi])
                 held.append((w, bigram_hashes(w, np.r_[0, np.cumsum(n)[:-1]], start)))
                 size += len(w)
@@ -180,10 +186,10 @@ def score_documents(
     text_col: str = "text",
     held_out_mod: int = 7,
     held_out_remainder: int = 2,
-    mu: float = 60.0,
-    bits_per_key: int = 10,
-    probes_per_level: int = 6,
-    chunk_tokens: int = 2_000_000,
+    mu: float = 200.0,
+    bits_per_key: int = 8,
+    probes_per_level: int = 5,
+    chunk_tokens: int = 1_000_000,
     broadcast_bytes: int = 512 << 20,
 ) -> DataFrame:
     """Log10 probabilities of every text under the add-one unigram base and under the filter's bigram model.
@@ -209,7 +215,8 @@ def score_documents(
 
     def shared(group: list[int]):
         got = shards.where(F.col("part").between(group[0], group[-1])).select("part", "uni", "uni_n", "bits").toLocalIterator() if group else []
-        return docs.sparkSession.sparkContext.broadcast([(r.part, bytes(r.uni), bytes(r.uni_n), bytes(r.bits)) for r in got] or [(0, b"", b"", bytes(8))])
+        held = sorted(((r.part, bytes(r.uni), bytes(r.uni_n), bytes(r.bits)) for r in got), key=lambda r: r[0])
+        return docs.sparkSession.sparkContext.broadcast(Table.joined(held, group[0] if group else 0, group[-1] + 1 if group else 0))
 
     schema = pa.schema([("doc_id", docs.select(id_col).limit(0).toArrow().schema.field(0).type), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -232,7 +239,7 @@ def score_documents(
             for batch in batches:
                 ids, held, texts = batch.column(0), batch.column(2), batch.column(1).to_pylist()
                 before = batch.column(3).to_pylist() if batch.num_columns > 3 else None
-                for lo, hi in slices([len(t or "") for t in texts], 1 << 21):
+                for lo, hi in slices([len(t or "") for t in texts], 1 << 20):
                     w, n = tokens_of(memo, texts[lo:hi])
                     distinct, at = np.unique(w, return_inverse=True)
                     counts = table.count(distinct)[at]
