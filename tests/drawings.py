@@ -15,7 +15,7 @@ class Drawing:
     """Collects rows of one side of a pair."""
 
     def __init__(self, pair_id: str, side: str, width: float = 792.0, height: float = 612.0, pages: int = 1):
-        self.key, self.width, self.height, self.pages = (pair_id, side), width, height, pages
+        self.key, self.width, self.height, self.pages = (pair_id, side), float(width), float(height), pages
         self.spans, self.drawings, self.images = [], [], []
 
     def text(self, x, y, text, size=11.0, page=0, alpha=None, line=0):
