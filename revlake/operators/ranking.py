@@ -1,0 +1,27 @@
+"""Choices by rank: clear winners, mutual choices, and merged intervals, as windows and joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def clear_best(candidates: DataFrame, by: list[str], choice: str, score: str, margin: float) -> DataFrame:
+    """(by, choice): the lowest score of each group, unless the next one is within the margin of it."""
+    w = Window.partitionBy(*by).orderBy(score, choice)
+    ranked = candidates.withColumns({"__rank": F.row_number().over(w), "__next": F.lead(score).over(w)})
+    return ranked.where((F.col("__rank") == 1) & (F.col("__next").isNull() | (F.col("__next") - F.col(score) > margin))).select(*by, choice)
+
+
+def mutual_best(candidates: DataFrame, keys: list[str], left: str, right: str, score: str, margin: float) -> DataFrame:
+    """(keys, left, right): pairs each of whose sides clearly chooses the other."""
+    return clear_best(candidates, [*keys, left], right, score, margin).join(clear_best(candidates, [*keys, right], left, score, margin), [*keys, left, right])
+
+
+def merge_intervals(rows: DataFrame, keys: list[str], lo: str, hi: str, slack: float = 0.0) -> DataFrame:
+    """(keys, lo, hi, members): intervals of a key joined where they overlap or come within the slack (gaps and islands)."""
+    w = Window.partitionBy(*keys).orderBy(lo, hi)
+    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.when(reach.isNull() | (F.col(lo) > reach + slack), 1).otherwise(0)
+    islands = rows.withColumn("__first", first).withColumn("__island", F.sum("__first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*keys, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("members")).drop("__island")

@@ -14,8 +14,11 @@ from .operators.alignment import align, anchor_pairs, unique_keys
 from .operators.areas import union_area
 from .operators.changes import change_counts, change_table, filter_changes, summaries
 from .operators.matching import PAGE, attribute_score, match_entities
-from .operators.spatial import nearest_join, radius_join
-from .operators.validation import validate
+from .operators.assignment import greedy, least_cost, reject_ambiguous
+from .operators.extraction import text_entities
+from .operators.ranking import clear_best, merge_intervals, mutual_best
+from .operators.spatial import nearest_join, neighbourhood, radius_join
+from .operators.validation import page_capabilities, validate
 from .plans.compare import Comparison, compare_entities
 from .sources.tables import synthetic_pair
 
@@ -181,7 +184,80 @@ def compared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_index", F.col("alignment.status").alias("status"), "entity_count_old", "entity_count_new", "affected_area_fraction", "relevant_area_fraction")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entity_table, radius_pairs, nearest_neighbours, exact_candidates, unique_anchor_keys, least_squares_fit, registration, text_categories, geometry_scores, covered_area, duplicate_ordinals, text_digests, document_gate, filtered_changes, change_summary, counts_by_type, page_affected_area, tier_matches, compared_changes, compared_pages)}
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates within a wide radius, scored by nearness, for the operators on candidates."""
+    e = _pair(spark, sf_dir)
+    j = radius_join(_side(e, "old"), _side(e, "new"), [*PAGE, "kind"], 0.06).withColumn("d", F.round("d", 6))
+    return j.select("page_index", "old_id", "new_id", F.round(1 - F.col("d"), 6).alias("score"), "d", F.substring("old_id", -1, 1).isin("0", "3", "6", "9").alias("callout"))
+
+
+def clear_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each old entity's best partner, where the next is clearly worse."""
+    return clear_best(_scored(spark, sf_dir), ["page_index", "old_id"], "new_id", "d", 0.02)
+
+
+def mutual_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that clearly choose each other."""
+    return mutual_best(_scored(spark, sf_dir), ["page_index"], "old_id", "new_id", "d", 0.01)
+
+
+def unambiguous_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates left after flagged entities with two close scores lost theirs."""
+    return reject_ambiguous(_scored(spark, sf_dir), ["page_index"], 0.015).select("page_index", "old_id", "new_id", "score")
+
+
+def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy one-to-one pairs of the candidates."""
+    return greedy(_scored(spark, sf_dir), ["page_index"]).select("page_index", "old_id", "new_id", "score")
+
+
+def least_cost_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one pairs of greatest total score within components of the candidates."""
+    return least_cost(_scored(spark, sf_dir).where("score >= 0.96"), ["page_index"], 0.96, 1200).select("page_index", "old_id", "new_id", "score")
+
+
+def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text share, distance and spread of each old entity's six nearest."""
+    e = _pair(spark, sf_dir).where("side = 'old'")
+    c = neighbourhood(e, ["page_index"])
+    return c.select("page_index", "id", F.round(F.col("context")[0], 6).alias("text_share"), F.round(F.col("context")[2], 6).alias("mean_distance"), F.round(F.col("context")[3], 6).alias("spread"))
+
+
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizontal extents of old boxes merged within bands of the page."""
+    e = _pair(spark, sf_dir).where("side = 'old'").select("page_index", F.floor(F.col("bbox.y0") * 20).cast("int").alias("band"), F.col("bbox.x0").alias("lo"), F.col("bbox.x1").alias("hi"))
+    m = merge_intervals(e, ["page_index", "band"], "lo", "hi", 0.002)
+    return m.select("page_index", "band", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "members")
+
+
+def _raw_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, spans and images made from customers, 30 to a page of 612 x 792 points."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("p").alias("pair_id"), F.lit("old").alias("side"), F.floor(k / 30).cast("int").alias("page_index"), k.alias("k"), "c_name", "c_mktsegment", "c_nationkey")
+    x, y = (F.col("k") % 53 * 10).cast("double"), (F.col("k") % 71 * 10).cast("double")
+    spans = c.select("pair_id", "side", "page_index", F.col("k").cast("int").alias("block_index"), F.lit(0).alias("line_index"), F.lit(0).alias("span_index"), F.concat(F.lit(" "), "c_name", F.lit("   "), "c_mktsegment").alias("text"), G.box(x, y, x + 80, y + 12).alias("bbox"), F.lit(None).cast("struct<x:double,y:double>").alias("origin"), F.lit(None).cast("struct<x:double,y:double>").alias("dir"), F.col("c_mktsegment").alias("font"), (F.col("k") % 3 + 10).cast("double").alias("size"), F.lit(0).alias("flags"), F.lit(255).alias("color"), F.when(F.col("k") % 9 == 0, 0).cast("int").alias("alpha"))
+    pages = c.select("pair_id", "side", "page_index").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    images = c.where("k % 4 = 0").select("pair_id", "side", "page_index", F.col("k").cast("int").alias("image_index"), G.box(x - 40, y - 40, x + 160, y + 200).alias("bbox"))
+    return pages, spans, images
+
+
+def extracted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text entities of raw spans: normal form, unit box, anchor and digests."""
+    pages, spans, _ = _raw_pages(spark, sf_dir)
+    e = text_entities(spans, pages, ascii_only=True)
+    return e.select("page_index", "text", "text_normalized", "font_name", "font_size", "style_signature", "content_signature", *(F.round(f"bbox.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")), F.round("anchor.y", 6).alias("anchor_y"))
+
+
+def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and covered fractions of raw pages, and whether they are scans."""
+    pages, spans, images = _raw_pages(spark, sf_dir)
+    from .sources.tables import SCHEMAS
+
+    c = page_capabilities(pages, spans, spark.createDataFrame([], SCHEMAS["raw_drawings"]), images)
+    return c.select("page_index", "text_span_count", "image_count", F.round("image_coverage_fraction", 5).alias("image_cover"), F.round("structured_coverage_fraction", 5).alias("structured_cover"), "effectively_scanned")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entity_table, radius_pairs, nearest_neighbours, exact_candidates, unique_anchor_keys, least_squares_fit, registration, text_categories, geometry_scores, covered_area, duplicate_ordinals, text_digests, document_gate, filtered_changes, change_summary, counts_by_type, page_affected_area, clear_choices, mutual_choices, unambiguous_candidates, greedy_pairs, least_cost_pairs, context_vectors, merged_runs, extracted_texts, page_inventory, tier_matches, compared_changes, compared_pages)}
 
 _PAIR = """
 base as (
@@ -230,6 +306,27 @@ cover as (select {", ".join(f"s.{k.strip()}" for k in keys.split(","))}, s.l, s.
 select {keys}, round(coalesce(sum(greatest(0e0, y1 - greatest(y0, coalesce(before, y0))) * (r - l)), 0), 6) as area from cover group by {keys}"""
 
 
+_GEOMETRY = f"""{_PAIR}, g as (select *, k % 5 + 1 as hl, k % 3 as hc, (x1 - x0) / (y1 - y0) as aspect from entity where kind = 'geometry'),
+p as (select o.page_index, o.id as old_id, n.id as new_id, sqrt((o.x - n.x) ** 2 + (o.y - n.y) ** 2) as d, greatest(0e0, least(o.x1, n.x1) - greatest(o.x0, n.x0)) * greatest(0e0, least(o.y1, n.y1) - greatest(o.y0, n.y0)) as i,
+  (o.x1 - o.x0) * (o.y1 - o.y0) as ao, (n.x1 - n.x0) * (n.y1 - n.y0) as an, (least(o.hl, n.hl) + least(o.hc, n.hc)) / cast(greatest(o.hl, n.hl) + greatest(o.hc, n.hc) as double) as h, least(o.aspect, n.aspect) / greatest(o.aspect, n.aspect) as r
+  from g o join g n on o.side = 'old' and n.side = 'new' and o.page_index = n.page_index),
+scored as (select page_index, old_id, new_id, round(0.34e0 * greatest(0e0, 1 - d / 0.018e0) + 0.24e0 * (i / (ao + an - i)) + 0.20e0 * h + 0.12e0 * r + 0.10e0, 6) as score from p where d <= 0.018e0)"""
+
+_CAND = f"""{_PAIR}, near as (select o.page_index, o.id as old_id, n.id as new_id, round(sqrt((o.x - n.x) * (o.x - n.x) + (o.y - n.y) * (o.y - n.y)), 6) as d from entity o join entity n on o.side = 'old' and n.side = 'new' and o.page_index = n.page_index and o.kind = n.kind where sqrt((o.x - n.x) * (o.x - n.x) + (o.y - n.y) * (o.y - n.y)) <= 0.06e0),
+cand as (select *, round(1 - d, 6) as score, right(old_id, 1) in ('0', '3', '6', '9') as callout from near)"""
+
+
+def _clear_sql(by: str, choice: str, margin: str) -> str:
+    return f"select page_index, old_id, new_id from (select *, row_number() over w as r, lead(d) over w as nx from cand window w as (partition by page_index, {by} order by d, {choice})) where r = 1 and (nx is null or nx - d > {margin})"
+
+
+def _close_sql(by: str) -> str:
+    return f"select page_index, {by} from (select page_index, {by}, score, row_number() over (partition by page_index, {by} order by score desc) as r from cand where callout) where r <= 2 group by all having count(*) > 1 and max(score) - min(score) < 0.015e0"
+
+
+_SPANS = """
+c as (select cast(floor(c_custkey / 30) as int) as page_index, c_custkey as k, c_name, c_mktsegment, (c_custkey % 53) * 10e0 as x, (c_custkey % 71) * 10e0 as y from customer)"""
+
 ORACLE_SQL: dict[str, str] = {
     "entity_table": f"with {_PAIR} select side, page_index, id, kind, round(x, 6) as x, round(y, 6) as y, text, content_signature from entity",
     "radius_pairs": f"with {_PAIR} select o.page_index, o.kind, o.id as old_id, n.id as new_id, round(sqrt((o.x - n.x) * (o.x - n.x) + (o.y - n.y) * (o.y - n.y)), 6) as d from entity o join entity n on o.side = 'old' and n.side = 'new' and o.page_index = n.page_index and o.kind = n.kind where sqrt((o.x - n.x) * (o.x - n.x) + (o.y - n.y) * (o.y - n.y)) <= 0.018e0",
@@ -245,11 +342,20 @@ select page_index, id, category, relevant, case category when 'DIMENSION' then '
   when 'NOTE' then case when relevant then 'The note contains an inspection-impact keyword.' else 'General note change has no configured inspection keyword.' end
   when 'REVISION' then case when relevant then 'Revision text describes a technical inspection impact.' else 'Administrative revision metadata is not itself inspectable.' end
   else 'Unclassified text change has no deterministic inspection rule.' end as reason from r""",
-    "geometry_scores": f"""with {_PAIR}, g as (select *, k % 5 + 1 as hl, k % 3 as hc, (x1 - x0) / (y1 - y0) as aspect from entity where kind = 'geometry'),
-p as (select o.page_index, o.id as old_id, n.id as new_id, sqrt((o.x - n.x) ** 2 + (o.y - n.y) ** 2) as d, greatest(0e0, least(o.x1, n.x1) - greatest(o.x0, n.x0)) * greatest(0e0, least(o.y1, n.y1) - greatest(o.y0, n.y0)) as i,
-  (o.x1 - o.x0) * (o.y1 - o.y0) as ao, (n.x1 - n.x0) * (n.y1 - n.y0) as an, (least(o.hl, n.hl) + least(o.hc, n.hc)) / cast(greatest(o.hl, n.hl) + greatest(o.hc, n.hc) as double) as h, least(o.aspect, n.aspect) / greatest(o.aspect, n.aspect) as r
-  from g o join g n on o.side = 'old' and n.side = 'new' and o.page_index = n.page_index)
-select page_index, old_id, new_id, round(0.34e0 * greatest(0e0, 1 - d / 0.018e0) + 0.24e0 * (i / (ao + an - i)) + 0.20e0 * h + 0.12e0 * r + 0.10e0, 6) as score from p where d <= 0.018e0""",
+    "geometry_scores": f"with {_GEOMETRY} select page_index, old_id, new_id, score from scored",
+    "clear_choices": f"with {_CAND} {_clear_sql('old_id', 'new_id', '0.02e0')}",
+    "mutual_choices": f"with {_CAND} select a.* from ({_clear_sql('old_id', 'new_id', '0.01e0')}) a join ({_clear_sql('new_id', 'old_id', '0.01e0')}) b using (page_index, old_id, new_id)",
+    "unambiguous_candidates": f"with {_CAND}, bo as ({_close_sql('old_id')}), bn as ({_close_sql('new_id')}) select page_index, old_id, new_id, score from cand anti join bo using (page_index, old_id) anti join bn using (page_index, new_id)",
+    "context_vectors": f"with {_PAIR}, o as (select *, (x1 - x0) * (y1 - y0) as area from entity where side = 'old'), six as (select * from (select a.page_index, a.id, b.kind, b.area, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, row_number() over (partition by a.page_index, a.id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.kind, b.x0, b.y0) as r from o a join o b on a.page_index = b.page_index and a.id <> b.id) where r <= 6) select page_index, id, round(avg(cast(kind = 'text' as double)), 6) as text_share, round(avg(d), 6) as mean_distance, round(stddev_pop(d) + avg(area), 6) as spread from six group by page_index, id",
+    "merged_runs": f"with {_PAIR}, o as (select page_index, cast(floor(y0 * 20) as int) as band, x0 as lo, x1 as hi from entity where side = 'old'), f as (select *, case when lo > max(hi) over (partition by page_index, band order by lo, hi rows between unbounded preceding and 1 preceding) + 0.002e0 then 1 else 0 end as nw from o), g as (select *, sum(nw) over (partition by page_index, band order by lo, hi rows between unbounded preceding and current row) as island from f) select page_index, band, round(min(lo), 6) as lo, round(max(hi), 6) as hi, count(*) as members from g group by page_index, band, island",
+    "extracted_texts": f"with {_SPANS}, s as (select *, c_name || ' ' || c_mktsegment as text, round((k % 3 + 10) / 792e0, 6) as font_size from c where k % 9 <> 0), t as (select *, substr(sha256(c_mktsegment || '|0|#0000ff|' || cast(font_size as varchar)), 1, 20) as style from s) select page_index, text, lower(text) as text_normalized, c_mktsegment as font_name, font_size, style as style_signature, substr(sha256('text|' || text || '|' || style), 1, 20) as content_signature, round(x / 612, 6) as x0, round(y / 792, 6) as y0, round(least(1e0, (x + 80) / 612), 6) as x1, round(least(1e0, (y + 12) / 792), 6) as y1, round((y / 792 + least(1e0, (y + 12) / 792)) / 2, 6) as anchor_y from t",
+    "page_inventory": f"""with {_SPANS}, rects as (select page_index, 'i' as what, greatest(0e0, x - 40) as x0, greatest(0e0, y - 40) as y0, least(612e0, x + 160) as x1, least(792e0, y + 200) as y1 from c where k % 4 = 0 union all select page_index, 's', x, y, least(612e0, x + 80), least(792e0, y + 12) from c where k % 9 <> 0),
+edge as (select distinct page_index, what, unnest([x0, x1]) as l from rects), slab as (select *, lead(l) over (partition by page_index, what order by l) as r from edge),
+cover as (select s.page_index, s.what, s.l, s.r, b.y0, b.y1, max(b.y1) over (partition by s.page_index, s.what, s.l order by b.y0, b.y1 rows between unbounded preceding and 1 preceding) as before from slab s join rects b on s.page_index = b.page_index and s.what = b.what and b.x0 <= (s.l + s.r) / 2 and (s.l + s.r) / 2 <= b.x1 and b.y1 > b.y0 where s.r > s.l),
+area as (select page_index, what, sum(greatest(0e0, y1 - greatest(y0, coalesce(before, y0))) * (r - l)) / (612e0 * 792e0) as a from cover group by page_index, what),
+n as (select page_index, count(*) filter (where k % 9 <> 0) as text_span_count, count(*) filter (where k % 4 = 0) as image_count from c group by page_index),
+j as (select n.*, coalesce(i.a, 0) as ia, coalesce(s.a, 0) as sa from n left join area i on n.page_index = i.page_index and i.what = 'i' left join area s on n.page_index = s.page_index and s.what = 's')
+select page_index, text_span_count, image_count, round(ia, 5) as image_cover, round(sa, 5) as structured_cover, image_count > 0 and (text_span_count = 0 or ia >= 0.85e0 and (text_span_count <= 5 or sa <= 0.02e0)) as effectively_scanned from j""",
     "covered_area": f"with {_PAIR}, old_box as (select * from entity where side = 'old'), {_area_sql('old_box', 'page_index')}",
     "duplicate_ordinals": f"with {_PAIR} select page_index, id, cast(row_number() over (partition by page_index, content_signature order by kind, id) - 1 as int) as ordinal from entity where side = 'old'",
     "text_digests": "with p as (select p_partkey, trim(regexp_replace(p_name || '  ' || p_type, '\\s+', ' ', 'g')) as text, p_size from part) select p_partkey, text, substr(sha256('text|' || text || '|' || cast(p_size as varchar)), 1, 20) as content_signature, substr(sha256('text|' || text || '|' || cast(p_size as varchar)), 1, 16) as short from p",
