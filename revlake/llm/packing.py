@@ -11,8 +11,11 @@ sum-of-squares rule keeps few (and `max_open` bounds exactly: reaching it closes
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 300_000
+from .common import Memo, slices
 
+#: A stop or comma that ends a word after a letter or digit: a token of its own, so the word is looked up without it.
+STOP = re.compile(r"[.,](?<=[^\W_].)(?=\s|\Z)")
+_TOKENIZERS: dict[str, WordTokenizer] = {}  # one per file in a worker process, so that its memo serves later tasks
 
-class WordTokenizer(dict):
-    """Ids of whole texts by tokenizers, through a memo of words between ASCII white space.
+
+class WordTokenizer:
+    """Ids of whole texts by tokenizers, through a memo of words between ASCII blanks.
 
     The tokenizer drops white space and never joins across it, and its normaliser (NFC, lower case) does not
     act across it, so a text's ids are its words' ids in order.
@@ -33,18 +40,29 @@ class WordTokenizer(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.memo = Memo(self._ids, 700_000)
+
+    @staticmethod
+    def of(path: str) -> WordTokenizer:
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = WordTokenizer(path)
+        return _TOKENIZERS[path]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return ids
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        words = [STOP.sub(r" \g<0>", t.replace("\n", " ")).split(" ") for t in texts]
+        values = self.memo.values([w for ws in words for w in ws])
+        at = 0
+        for ws in words:
+            yield np.frombuffer(b"".join(values[at : at + len(ws)]), "<u4")
+            at += len(ws)
 
     def encode(self, text: str) -> np.ndarray:
-        got = self.__getitem__
-        return np.array([i for w in text.replace("\n", " ").split(" ") for i in got(w)], np.uint32)
+        return next(self.encode_all([text]))
 
 
 class SumOfSquares:
@@ -143,7 +161,7 @@ def pack_documents(
     window: int = 4096,
     end_id: int = 2,
     max_open: int = 4096,
-    encoder: Callable[[str], Callable[[str], np.ndarray]] | None = None,
+    encoder: Callable[[str], Callable[[list[str]], Iterable[np.ndarray]]] | None = None,
 ) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -155,7 +173,8 @@ def pack_documents(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def kernel(batches):
-        encode = encoder(tokenizer_path) if encoder else WordTokenizer(tokenizer_path).encode
+        words = None if encoder else WordTokenizer.of(tokenizer_path)
+        encode = words.encode_all if words else encoder(tokenizer_path)
         packer = Packer(window, TaskContext.get().partitionId() << 36, max_open)
         id_arrow = None
         rows: list[tuple] = []
@@ -166,8 +185,10 @@ def pack_documents(
 
         for batch in batches:
             id_arrow = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend(packer.add(doc, np.append(encode(text or ""), np.uint32(end_id))))
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in slices([len(t) for t in texts], 1 << 20):
+                for doc, ids in zip(docs[lo:hi], encode(texts[lo:hi]), strict=True):
+                    rows.extend(packer.add(doc, np.append(ids, np.uint32(end_id))))
                 if len(rows) >= 20_000:
                     yield block()
                     rows = []
