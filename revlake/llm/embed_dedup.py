@@ -47,14 +47,14 @@ def roots(pairs: np.ndarray) -> dict[int, int]:
     return {a: find(a) for a in list(up)}
 
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, beam: int = 32, audit: float = 0.995, shards: int = 8, shard_rows: int = 50_000, block_rows: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, beam: int = 32, audit: float = 0.995, shards: int = 8, shard_rows: int = 50_000, block_rows: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; links are pairs found with a cosine of at least `least`.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different
     length with each other. Rows of one id are one node. A null id links with nothing. Empty tables give an empty
     result; extra columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     folded = materialize(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
@@ -73,7 +73,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
             width *= 2
         import pickle
 
-        return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "graph": [pickle.dumps((graph, x, table.column("rep").to_numpy(), table.column("copies").to_numpy(), width))]}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
+        raw = table.column("v").combine_chunks()
+        graph.x = None  # made again from the vectors, which are sent as they came
+        return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "graph": [pickle.dumps((graph, raw, table.column("rep").to_numpy(), table.column("copies").to_numpy(), width))]}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
 
     graphs = materialize(keyed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"))
 
@@ -83,9 +85,12 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         none = pa.table({c: pa.array([], pa.int64()) for c in ("rep", "links", "root")})
         if not len(queries) or not len(found):
             return none
-        graph, x, reps, copies, width = pickle.loads(found.column("graph")[0].as_py())
+        graph, raw, reps, copies, width = pickle.loads(found.column("graph")[0].as_py())
+        x = unit(raw)
+        graph.x = np.ascontiguousarray(x, np.float32)
         q, ids = unit(queries.column("v")), queries.column("rep").to_numpy()
-        r, c = graph.within(q.astype(np.float32), least - 1e-4, width)
+        hits = [(lo, graph.within(q[lo : lo + 512].astype(np.float32), least - 1e-4, width)) for lo in range(0, len(q), 512)]
+        r, c = np.concatenate([lo + a for lo, (a, _) in hits]), np.concatenate([b for _, (_, b) in hits])
         exact = np.concatenate([np.einsum("id,id->i", q[r[i : i + 100_000]], x[c[i : i + 100_000]]) for i in range(0, len(r), 100_000)]) if len(r) else np.empty(0)
         keep = (exact >= least) & (ids[r] != reps[c])
         r, c = r[keep], c[keep]

@@ -29,7 +29,7 @@ class Graph:
             self._build(Layer(order[:count].astype(np.int32), links * 2 if at == 0 else links), beam)
 
     def _build(self, layer: Layer, beam: int) -> None:
-        done = min(len(layer.nodes), FIRST)
+        done = min(len(layer.nodes), max(FIRST, len(self.layers[-1].nodes) if self.layers else 0))
         v = self.x[layer.nodes[:done]]
         s = v @ v.T
         np.fill_diagonal(s, -2)
