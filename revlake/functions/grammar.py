@@ -1,0 +1,33 @@
+"""Roles of text fragments within dimensions, as one Column expression without Python."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from . import patterns as P
+from .text import cleaned
+
+
+def speaks_of_gdt(text: Column) -> Column:
+    return text.rlike(f"[{P.GDT_FEATURES}{P.GDT_MODIFIERS}]") | text.rlike(P.java(P.GDT_WORDS)) | text.rlike(P.java(P.GDT_MODIFIER_WORDS))
+
+
+def reads_as_dimension(t: Column) -> Column:
+    """Whether a cleaned text is a dimension by itself: one bare number with a quantity, feature, tolerance or qualifier."""
+    upper = F.upper(t)
+    quantity = r"(?U)\b\d+\s*[X×]\b"
+    count = lambda text, pattern: F.regexp_count(text, F.lit(pattern))
+    bare = F.regexp_replace(F.regexp_replace(upper, quantity, " "), "(?U)" + P.SIGNED, " ")
+    features = count(t, P.java(P.FEATURE_WITHIN))
+    parts = count(upper, quantity) + features + count(t, P.java(P.SIGNED)) + count(t, P.java(rf"\b{P.QUALIFIER}\b"))
+    return ~t.contains(":") & (features <= 1) & (count(bare, P.java(P.NUMBER)) == 1) & (parts > 0)
+
+
+def fragment_role(text: Column) -> Column:
+    """other, gdt, qualifier, prefix, feature, tolerance, nominal, unit or core; the first that applies."""
+    t = cleaned(text)
+    out = F.when((t == "") | t.rlike(P.java(P.NOT_DIMENSION)), "other").when(speaks_of_gdt(t), "gdt")
+    for role, pattern in (("qualifier", P.QUALIFIER), ("prefix", P.QUANTITY), ("feature", P.FEATURE), ("tolerance", P.TOLERANCE), ("nominal", P.NOMINAL), ("unit", P.UNIT)):
+        out = out.when(t.rlike(P.java(pattern, whole=True)), role)
+    return out.when(reads_as_dimension(t), "core").otherwise("other")

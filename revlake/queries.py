@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions.classify import reason, relevant, with_category
+from .functions.grammar import fragment_role
 from .functions.text import digest, normalize_text
 from .operators.alignment import align, anchor_pairs, unique_keys
 from .operators.areas import union_area
@@ -230,6 +231,14 @@ def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("page_index", "band", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "members")
 
 
+def fragment_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of dimension fragments, twelve kinds of them."""
+    k = F.col("o_orderkey")
+    n = lambda m: (k % m + 1).cast("string")
+    texts = [F.concat(n(50), F.lit("X")), F.lit(" Ø "), F.concat(n(40), F.lit(".5")), F.concat(F.lit("±0."), n(9)), F.lit("THRU"), F.concat(F.lit("R"), n(9)), F.concat(n(90), F.lit("°")), F.lit("mm"), F.concat(F.lit("SHEET "), n(9)), F.concat(F.lit("⌀"), n(30), F.lit(" +/- 0.1")), F.lit("words"), F.lit("⌖")]
+    return _orders(spark, sf_dir).select(k.alias("k"), fragment_role(F.element_at(F.array(*texts), (k % 12 + 1).cast("int"))).alias("role"))
+
+
 def _raw_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages, spans and images made from customers, 30 to a page of 612 x 792 points."""
     k = F.col("c_custkey")
@@ -257,7 +266,7 @@ def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("page_index", "text_span_count", "image_count", F.round("image_coverage_fraction", 5).alias("image_cover"), F.round("structured_coverage_fraction", 5).alias("structured_cover"), "effectively_scanned")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entity_table, radius_pairs, nearest_neighbours, exact_candidates, unique_anchor_keys, least_squares_fit, registration, text_categories, geometry_scores, covered_area, duplicate_ordinals, text_digests, document_gate, filtered_changes, change_summary, counts_by_type, page_affected_area, clear_choices, mutual_choices, unambiguous_candidates, greedy_pairs, least_cost_pairs, context_vectors, merged_runs, extracted_texts, page_inventory, tier_matches, compared_changes, compared_pages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entity_table, radius_pairs, nearest_neighbours, exact_candidates, unique_anchor_keys, least_squares_fit, registration, text_categories, geometry_scores, covered_area, duplicate_ordinals, text_digests, document_gate, filtered_changes, change_summary, counts_by_type, page_affected_area, clear_choices, mutual_choices, unambiguous_candidates, greedy_pairs, least_cost_pairs, context_vectors, merged_runs, fragment_roles, extracted_texts, page_inventory, tier_matches, compared_changes, compared_pages)}
 
 _PAIR = """
 base as (
@@ -348,6 +357,7 @@ select page_index, id, category, relevant, case category when 'DIMENSION' then '
     "unambiguous_candidates": f"with {_CAND}, bo as ({_close_sql('old_id')}), bn as ({_close_sql('new_id')}) select page_index, old_id, new_id, score from cand anti join bo using (page_index, old_id) anti join bn using (page_index, new_id)",
     "context_vectors": f"with {_PAIR}, o as (select *, (x1 - x0) * (y1 - y0) as area from entity where side = 'old'), six as (select * from (select a.page_index, a.id, b.kind, b.area, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, row_number() over (partition by a.page_index, a.id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.kind, b.x0, b.y0) as r from o a join o b on a.page_index = b.page_index and a.id <> b.id) where r <= 6) select page_index, id, round(avg(cast(kind = 'text' as double)), 6) as text_share, round(avg(d), 6) as mean_distance, round(stddev_pop(d) + avg(area), 6) as spread from six group by page_index, id",
     "merged_runs": f"with {_PAIR}, o as (select page_index, cast(floor(y0 * 20) as int) as band, x0 as lo, x1 as hi from entity where side = 'old'), f as (select *, case when lo > max(hi) over (partition by page_index, band order by lo, hi rows between unbounded preceding and 1 preceding) + 0.002e0 then 1 else 0 end as nw from o), g as (select *, sum(nw) over (partition by page_index, band order by lo, hi rows between unbounded preceding and current row) as island from f) select page_index, band, round(min(lo), 6) as lo, round(max(hi), 6) as hi, count(*) as members from g group by page_index, band, island",
+    "fragment_roles": "select o_orderkey as k, ['prefix', 'feature', 'nominal', 'tolerance', 'qualifier', 'core', 'nominal', 'unit', 'other', 'core', 'other', 'gdt'][o_orderkey % 12 + 1] as role from orders",
     "extracted_texts": f"with {_SPANS}, s as (select *, c_name || ' ' || c_mktsegment as text, round((k % 3 + 10) / 792e0, 6) as font_size from c where k % 9 <> 0), t as (select *, substr(sha256(c_mktsegment || '|0|#0000ff|' || cast(font_size as varchar)), 1, 20) as style from s) select page_index, text, lower(text) as text_normalized, c_mktsegment as font_name, font_size, style as style_signature, substr(sha256('text|' || text || '|' || style), 1, 20) as content_signature, round(x / 612, 6) as x0, round(y / 792, 6) as y0, round(least(1e0, (x + 80) / 612), 6) as x1, round(least(1e0, (y + 12) / 792), 6) as y1, round((y / 792 + least(1e0, (y + 12) / 792)) / 2, 6) as anchor_y from t",
     "page_inventory": f"""with {_SPANS}, rects as (select page_index, 'i' as what, greatest(0e0, x - 40) as x0, greatest(0e0, y - 40) as y0, least(612e0, x + 160) as x1, least(792e0, y + 200) as y1 from c where k % 4 = 0 union all select page_index, 's', x, y, least(612e0, x + 80), least(792e0, y + 12) from c where k % 9 <> 0),
 edge as (select distinct page_index, what, unnest([x0, x1]) as l from rects), slab as (select *, lead(l) over (partition by page_index, what order by l) as r from edge),
