@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops equal and near lines but the earliest; a document whose every line was dropped goes."""
     found = dedup_lines(docs).where(~((F.size("dropped") > 0) & (F.size("dropped") == F.col("n_lines"))) | F.col("dropped").isNull())
-    return _measured(found.withColumn("text", F.col("deduped_text")).select(*docs.columns))
+    return _measured(found.select(F.col("row").withField("text", F.col("deduped_text")).alias("row")).select("row.*"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

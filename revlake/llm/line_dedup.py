@@ -143,25 +143,25 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """docs with all their columns, n_lines, dropped (line numbers from 0) and deduped_text.
+    """row (struct of all columns of docs, whatever their names), n_lines, dropped (line numbers from 0) and deduped_text.
 
     Every nonblank line that has an equal or near earlier line anywhere is dropped; blank lines stay. Earlier means a smaller
     doc_id (null last), then text hash, then line number. A null text stays null with no lines. Rows with the same id and text
-    get the same result; equal ids with other texts are other documents. Empty tables give an empty result; columns of docs
-    may have any names but n_lines, dropped and deduped_text.
+    get the same result; equal ids with other texts are other documents. Empty tables give an empty result.
     """
     distinct = materialize(distinct_lines(docs, id_col, text_col, min_words), release=True)
     near = materialize(near_duplicates(distinct, docs, id_col, text_col), release=True)
     kept = distinct.join(near, ["h1", "h2"], "left_anti")
-    places = kept.groupBy(F.col("place.doc").alias("__doc"), F.col("place.th").alias("__th")).agg(F.collect_list("place.pos").alias("__kept"))
-    rows = docs.withColumn("__hash", F.xxhash64(text_col))
-    joined = rows.join(places, rows[id_col].eqNullSafe(places["__doc"]) & (rows["__hash"] == places["__th"]), "left")
-    lines = F.split(text_col, "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"), (F.trim(x) != "").alias("full")))
-    dropped = F.when(lines.isNull(), F.lit(None)).otherwise(F.array_except(F.transform(F.filter(numbered, lambda s: s["full"]), lambda s: s["i"]), F.coalesce(F.col("__kept"), F.array().cast("array<int>"))))
-    marked = joined.withColumn("dropped", F.array_sort(dropped)).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
-    rest = F.when(F.size("dropped") == 0, F.col(text_col)).when(F.size("dropped") == F.col("n_lines"), F.lit("")).otherwise(_without(lines, F.col("dropped")))
-    return marked.withColumn("deduped_text", rest).select(*docs.columns, "n_lines", "dropped", "deduped_text")
+    places = kept.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_list("place.pos").alias("kept"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    joined = rows.join(places, rows["id"].eqNullSafe(places["doc"]) & (rows["hash"] == places["th"]), "left")
+    lines = F.split("text", "\n", -1)
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), (F.trim(x) != "").alias("full")))
+    full = F.transform(F.filter(numbered, lambda s: s["full"]), lambda s: s["i"])
+    dropped = F.when(lines.isNotNull(), F.array_sort(F.array_except(full, F.coalesce("kept", F.array().cast("array<int>")))))
+    marked = joined.withColumn("dropped", dropped).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
+    rest = F.when(F.size("dropped") == 0, F.col("text")).when(F.size("dropped") == F.col("n_lines"), F.lit("")).otherwise(_without(lines, F.col("dropped")))
+    return marked.select("row", "n_lines", "dropped", F.when(F.col("text").isNotNull(), rest).alias("deduped_text"))
 
 
 def _without(lines: Column, dropped: Column) -> Column:

@@ -233,7 +233,7 @@ def report_pii(docs: DataFrame, model: SpanClassifier | None = None, *, id_col:
 
 def redact_pii(docs: DataFrame, model: SpanClassifier, *, text_col: str = "text") -> DataFrame:
     """docs with their columns, each span of the text replaced by its kind in brackets; overlapping spans are replaced as one."""
-    found = find_pii(docs, model, text_col=text_col)
+    found = find_pii(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), model)
     text = F.col("__text")
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
@@ -242,4 +242,4 @@ def redact_pii(docs: DataFrame, model: SpanClassifier, *, text_col: str = "text"
         return F.when(s["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("pos"), new.alias("out")))
 
     redacted = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.call_function("substring", text, acc["pos"] + 1)))
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, redacted).otherwise(F.col(text_col))).select(*docs.columns)
+    return found.select(F.col("row").withField(f"`{text_col}`", F.when(F.size("__spans") > 0, redacted).otherwise(F.col("text"))).alias("row")).select("row.*")

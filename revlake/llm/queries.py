@@ -37,7 +37,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("deduped_text", 256).alias("kept_sha256"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"), F.sha2("deduped_text", 256).alias("kept_sha256"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, "doc_id long, text string, score string").withColumn("part", F.lit(1)).withColumn("n", F.lit(0)).withColumn("bucket", F.lit("b")).withColumn("place", F.lit(1)).repartition(3)
+    return spark.createDataFrame(ODD, "doc_id long, text string, score string").withColumn("part", F.lit(1)).withColumn("n", F.lit(0)).withColumn("bucket", F.lit("b")).withColumn("place", F.lit(1)).withColumn("dropped", F.lit("c")).withColumn("n_lines", F.lit("c")).withColumn("row", F.lit("c")).withColumn("kept", F.lit("c")).withColumn("__text", F.lit("c")).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -159,12 +159,12 @@ def test_line_dedup(spark, docs, odd):
     rows = [(i, t) for i, t in enumerate(made)] + [(100 + r.doc_id, r.text) for r in docs.collect()]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = near_lines(rows)
-    assert {r.doc_id: list(r.dropped) for r in got} == want
+    assert {r.row.doc_id: list(r.dropped) for r in got} == want
     for r in got:
-        assert r.deduped_text == "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in want[r.doc_id])
+        assert r.deduped_text == "\n".join(x for i, x in enumerate(r.row.text.split("\n")) if i not in want[r.row.doc_id])
     rows = dedup_lines(odd).collect()
     assert len(rows) == len(ODD) and dedup_lines(odd.limit(0)).count() == 0
-    of = {r.doc_id: r for r in rows}
+    of = {r.row.doc_id: r for r in rows}
     assert of[3].dropped is None and of[3].deduped_text is None and list(of[1].dropped) == [] and list(of[2].dropped) == [0] and list(of[9].dropped) == [0]
 
 
@@ -411,3 +411,23 @@ def test_pipeline_against_its_stages(spark):
     for d, t in kept.items():
         if not base_spans(t) and "=" not in t:
             assert {p.doc_tokens for p in pieces if p.doc_id == d} == {len(tokenizer.encode(t, add_special_tokens=False).ids) + 1}
+
+
+def test_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    for docs in (odd.withColumn("n_chars", F.lit(0).cast("long")), odd.limit(0)):
+        count = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            if name != "packing":
+                assert out.columns == docs.columns, name
+                assert out.count() <= count
+            else:
+                assert (out.count() == 0) == (count == 0)
+    kept = corpus_pipeline.line_dedup(spark, odd, SMALL).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id in (1, 2, 3, 4, 9)) == [1, 3, 4]
+    kept = corpus_pipeline.near_duplicates(spark, odd.where("doc_id in (1, 2, 3, 4)"), SMALL).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4]
+    red = corpus_pipeline.pii(spark, odd, SMALL).where("doc_id is null").first()
+    assert red.text == "a null id with mail [EMAIL] and [IP]"
