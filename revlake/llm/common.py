@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,10 @@ class Memo:
         if len(young) >= self.limit:
             self.old, self.young = young, {}
             young = self.young
-        missing = [k for k in set(keys) if k not in young]
+        got = list(map(young.get, keys))
+        missing = list(dict.fromkeys([k for k, v in zip(keys, got, strict=True) if v is None]))
+        if not missing:
+            return got
         new = []
         for k in missing:
             if (v := self.old.get(k)) is not None:
@@ -51,7 +55,13 @@ class Memo:
             else:
                 new.append(k)
         young.update(zip(new, self.compute(new), strict=True))
-        return list(map(young.__getitem__, keys))
+        return [young[k] if v is None else v for k, v in zip(keys, got, strict=True)]
+
+    def settle(self, keep: int) -> None:
+        """At a task's end: keep the strings met first, which are the frequent ones, so that an idle worker holds little."""
+        self.old = {}
+        if len(self.young) > keep:
+            self.young = dict(islice(self.young.items(), keep))
 
 
 def words(text: str | None) -> list[bytes]:

@@ -205,7 +205,7 @@ def jaccard_components(
     shingle_words: int = 5,
     percent: int = 80,
     block: int = 128,
-    chunk_tokens: int = 1_000_000,
+    chunk_tokens: int = 400_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link when 100 * intersection >= percent * union.
 

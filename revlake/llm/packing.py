@@ -193,6 +193,8 @@ def pack_documents(
                     yield block()
                     rows = []
         rows.extend(packer.close())
+        if words:
+            words.memo.settle(150_000)
         if rows:
             yield block()
 
