@@ -153,9 +153,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     near = materialize(near_duplicates(distinct, docs, id_col, text_col), release=True)
     kept = distinct.join(near, ["h1", "h2"], "left_anti")
     places = kept.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_list("place.pos").alias("kept"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    joined = rows.join(places, rows["id"].eqNullSafe(places["doc"]) & (rows["hash"] == places["th"]), "left")
-    lines = F.split("text", "\n", -1)
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("hash"))  # the text is shuffled once, within row
+    joined = rows.join(places, rows["row"][id_col].eqNullSafe(places["doc"]) & (rows["hash"] == places["th"]), "left").withColumn("text", F.col("row")[text_col])
+    # A column of its own, used several times, so that the optimizer keeps it apart and a lambda does not split again.
+    joined, lines = joined.withColumn("lines", F.split("text", "\n", -1)), F.col("lines")
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), (F.trim(x) != "").alias("full")))
     full = F.transform(F.filter(numbered, lambda s: s["full"]), lambda s: s["i"])
     dropped = F.when(lines.isNotNull(), F.array_sort(F.array_except(full, F.coalesce("kept", F.array().cast("array<int>")))))
