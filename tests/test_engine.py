@@ -248,6 +248,19 @@ def test_neighbours_against_brute_force():
         nearest(np.array([[float("inf"), 0.0]]), 1)
 
 
+def test_radius_join_edges(spark):
+    from revlake.operators.spatial import radius_join
+
+    left = spark.createDataFrame([("p", 1, 0.5, 0.5), ("p", 2, 0.1, 0.1), ("q", 3, 0.5, 0.5), ("p", 4, float("nan"), 0.5), ("p", 5, None, 0.5)], "page string, a int, lx double, ly double")
+    right = spark.createDataFrame([("p", 1, 0.5, 0.5), ("p", 2, 0.75, 0.5), ("q", 3, 0.5, 0.5)], "page string, b int, rx double, ry double")
+    pairs = lambda r: {(x.page, x.a, x.b, x.d) for x in radius_join(left, right, ["page"], r).collect()}
+    assert pairs(0.0) == {("p", 1, 1, 0.0), ("q", 3, 3, 0.0)}
+    assert pairs(0.25) == {("p", 1, 1, 0.0), ("p", 1, 2, 0.25), ("q", 3, 3, 0.0)}
+    for bad in (-1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            pairs(bad)
+
+
 def test_union_area_against_grid(spark):
     from revlake.operators.areas import union_area
 
