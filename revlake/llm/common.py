@@ -30,6 +30,16 @@ class WordHashes(dict):
         return h
 
 
+#: Encoders that worker processes keep between tasks, by file.
+KEPT: list[dict] = []
+
+
+def forget() -> None:
+    """Drops what earlier tasks of other operators left in this worker process."""
+    for kept in KEPT:
+        kept.clear()
+
+
 class Memo:
     """Values of strings, computed once per string for those not seen lately; kept per worker process, in two generations.
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, finalize, materialize, pack48, part_of, parts_for, shingle_hashes, unpack48, word_hashes, words
+from .common import WordHashes, finalize, forget, materialize, pack48, part_of, parts_for, shingle_hashes, unpack48, word_hashes, words
 from .graph import connected_components
 
 LOW48 = np.uint64((1 << 48) - 1)
@@ -49,6 +49,7 @@ def _send(parts: int, k: int, chunk_tokens: int) -> Callable:
     """Scan: per chunk of documents a header (ids, sizes, set hashes) and one binary of shingles for each part."""
 
     def kernel(batches):
+        forget()
         memo = WordHashes()
         chunk = TaskContext.get().partitionId() << 32
         ids: list = []

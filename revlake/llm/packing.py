@@ -23,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import KEPT, Memo, slices
 
 #: A stop or comma that ends a word after a letter or digit: a token of its own, so the word is looked up without it.
 STOP = re.compile(r"[.,](?<=[^\W_].)(?=\s|\Z)")
 _TOKENIZERS: dict[str, WordTokenizer] = {}  # one per file in a worker process, so that its memo serves later tasks
+KEPT.append(_TOKENIZERS)
 
 
 class WordTokenizer:
@@ -194,7 +195,7 @@ def pack_documents(
                     rows = []
         rows.extend(packer.close())
         if words:
-            words.memo.settle(150_000)
+            words.memo.settle(400_000)
         if rows:
             yield block()
 

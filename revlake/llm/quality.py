@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, forget
 
 FEATURES = ["log_words", "word_length", "upper", "digit", "symbol", "line_break", "comma_stop", "distinct", "repeat", "space", "sentence"]
 LOWER, UPPER, DIGIT, SPACE, LINE, STOP, QUOTE, SYMBOL = range(8)
@@ -105,6 +105,7 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches):
+        forget()
         classes = character_classes()
         for batch in batches:
             x = np.array([statistics(t or "", classes) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
@@ -139,6 +140,7 @@ def score_quality(docs: DataFrame, model: QuadraticDiscriminant, *, id_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches):
+        forget()
         classes = character_classes()
         for batch in batches:
             x = np.array([statistics(t or "", classes) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
@@ -154,6 +156,7 @@ def keep_quality(docs: DataFrame, model: QuadraticDiscriminant, *, text_col: str
     at = docs.columns.index(text_col)
 
     def kernel(batches):
+        forget()
         classes = character_classes()
         for batch in batches:
             x = np.array([statistics(t or "", classes) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))

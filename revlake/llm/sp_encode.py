@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import KEPT, Memo
 
 SPACE = "▁"
 MEMO_PAIRS = 300_000
 
 
 _ENCODERS: dict[str, BacktrackingEncoder] = {}  # one per file in a worker process, so that its memo serves later tasks
+KEPT.append(_ENCODERS)
 
 
 class BacktrackingEncoder:
