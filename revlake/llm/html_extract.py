@@ -4,7 +4,7 @@ A page's token stream (block tags and text slots; inline tags belong to their te
 pages. Where the streams disagree, a token run that only one of them has becomes an optional group, and adjacent runs of the
 same shape become a repeated group, so the wrapper of a host is a union-free regular expression: a sequence of
 tags, text slots, optional and repeated groups. Slots of the wrapper are then rated: constant text, links and
-boilerplate containers are out, the article's slots are in.
+boilerplate containers are out, the article's slots are in. Which of the two kinds a page's text comes from is decided per page.
 
 Scale: pages are reduced where they are read to shapes (streams with repeats folded), and only the distinct
 shapes of a host meet in one task, however many pages the host has. Slot evidence is summed by (host, slot) with map-side
@@ -206,20 +206,34 @@ def slot_paths(node: list, path: tuple[str, ...] = ()) -> list[str]:
     return (["/".join(path)] if node[0] == "#text" else []) + [p for c in node[3] for p in slot_paths(c, here)]
 
 
+def inside(path: str) -> bool:
+    """Whether a slot lies in an article or main element."""
+    return any(k.partition("|")[0] in MAIN_TAGS or "role=main" in k for k in path.split("/"))
+
+
 def slot_roles(paths: list[str], evidence: dict[str, tuple[int, int, int, bool]]) -> list[str]:
-    """Paths of the slots that hold main text. evidence: path -> (pages, characters, characters in links, constant)."""
-    candidates = [p for p in paths if not any(boilerplate(k) for k in p.split("/") if k)]
-    inside = [p for p in candidates if any(k.partition("|")[0] in MAIN_TAGS or "role=main" in k for k in p.split("/"))]
-    if inside:
-        return sorted(set(inside))
+    """Paths of the slots that hold main text. evidence: path -> (pages, characters, characters in links, constant).
+
+    A host may mix templates: slots inside an article are for the pages that have them, the others for the pages that have none.
+    """
     good = []
-    for p in candidates:
+    for p in paths:
+        if any(boilerplate(k) for k in p.split("/") if k):
+            continue
         pages, chars, links, constant = evidence.get(p, (0, 0, 0, False))
-        if not (constant and pages >= 3) and links * 2 <= max(chars, 1):
+        if inside(p) or not (constant and pages >= 3) and links * 2 <= max(chars, 1):
             good.append(p)
     return sorted(set(good))
 
 
+def main_text(page: Page, wanted: frozenset) -> str:
+    """Texts of the page's slots inside its article, or of its other wanted slots if it has none."""
+    found = [("/".join(path), text) for path, text, _ in page.blocks]
+    found = [(inside(path), text) for path, text in found if path in wanted]
+    article = any(i for i, _ in found)
+    return "\n".join(text for i, text in found if i or not article)
+
+
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
@@ -285,7 +299,7 @@ def extract_pages(pages: DataFrame, wrappers: DataFrame | None = None, *, id_col
                     if len(known) > 5000:
                         known.clear()
                     wanted = known[slots or "[]"] = frozenset(json.loads(slots or "[]"))
-                texts.append("\n".join(text for path, text, _ in Page(source or "").blocks if "/".join(path) in wanted))
+                texts.append(main_text(Page(source or ""), wanted))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))

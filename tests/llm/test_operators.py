@@ -389,6 +389,19 @@ def test_html(spark):
     assert [(n[0], n[1], n[2]) for n in merge(a, b)[3]] == [("x", False, False), ("y", True, False), ("z", False, True)] or merge(a, b)[3][1][1]
 
 
+def extracted(spark, rows):
+    from revlake.llm.html_extract import extract_pages
+
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(2)
+    return [r.text for r in sorted(extract_pages(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_mixed_templates(spark):
+    old = [("http://mixed.example/o", page(f"<div class='x'><p>Same on all</p></div><div class='content'><p>Old words {i}</p></div>", "m", i)) for i in range(5)]
+    new = [("http://mixed.example/n", page("<div class='x'><p>Same on all</p></div><main><p>New words</p></main>", "m", 9))]
+    assert extracted(spark, old + new) == [*(f"Old words {i}" for i in range(5)), "New words"]
+
+
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline
     from revlake.llm.quality import character_classes, fit_quality, statistics
