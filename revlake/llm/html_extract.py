@@ -8,12 +8,14 @@ boilerplate containers are out, the article's slots are in. Which of the two kin
 
 Scale: pages are reduced where they are read to shapes (streams with repeats folded), and only the distinct
 shapes of a host meet in one task, however many pages the host has. Slot evidence is summed by (host, slot) with map-side
-combining. Wrappers are joined to pages by host; the planner broadcasts them only when their measured size is small, and
+combining; of the page contents that a slot was seen in, a batch of pages sends three at most, which is all that the rule asks. Wrappers are joined to pages by host; the planner broadcasts them only when their measured size is small, and
 otherwise splits a skewed host.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html as html_entities
 import json
 import re
@@ -206,22 +208,35 @@ def slot_paths(node: list, path: tuple[str, ...] = ()) -> list[str]:
     return (["/".join(path)] if node[0] == "#text" else []) + [p for c in node[3] for p in slot_paths(c, here)]
 
 
+@functools.lru_cache(1 << 14)
+def apart(path: str) -> bool:
+    """Whether a slot lies in a boilerplate container."""
+    return any(boilerplate(k) for k in path.split("/") if k)
+
+
 def inside(path: str) -> bool:
     """Whether a slot lies in an article or main element."""
     return any(k.partition("|")[0] in MAIN_TAGS or "role=main" in k for k in path.split("/"))
 
 
+def content_hash(slots: dict[str, list]) -> int:
+    """Hash of what may be main text of a page: its slots but boilerplate and lists of links, so that copies of a page count once."""
+    own = sorted((path, crc) for path, (chars, links, crc) in slots.items() if links * 2 <= chars and not apart(path))
+    return int.from_bytes(hashlib.blake2b(json.dumps(own).encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def slot_roles(paths: list[str], evidence: dict[str, tuple[int, int, int, bool]]) -> list[str]:
-    """Paths of the slots that hold main text. evidence: path -> (pages, characters, characters in links, constant).
+    """Paths of the slots that hold main text. evidence: path -> (distinct page contents up to 3, characters, characters in links, constant).
 
+    A slot is constant text when three pages of different contents, so of other slots that differ, hold the same in it.
     A host may mix templates: slots inside an article are for the pages that have them, the others for the pages that have none.
     """
     good = []
     for p in paths:
-        if any(boilerplate(k) for k in p.split("/") if k):
+        if apart(p):
             continue
-        pages, chars, links, constant = evidence.get(p, (0, 0, 0, False))
-        if inside(p) or not (constant and pages >= 3) and links * 2 <= max(chars, 1):
+        contents, chars, links, constant = evidence.get(p, (0, 0, 0, False))
+        if inside(p) or not (constant and contents >= 3) and links * 2 <= max(chars, 1):
             good.append(p)
     return sorted(set(good))
 
@@ -253,13 +268,16 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
                 for path, text, links in page.blocks:
                     x = mine.setdefault("/".join(path), [0, 0, 0])
                     x[0], x[1], x[2] = x[0] + len(text), x[1] + links, zlib.crc32(text.encode("utf-8", "surrogatepass"), x[2])
+                content = content_hash(mine)
                 for path, (chars, links, crc) in mine.items():
-                    x = slots.setdefault((host, path), [0, 0, 0, crc, crc])
+                    x = slots.setdefault((host, path), [0, 0, 0, crc, crc, []])
                     x[0], x[1], x[2], x[3], x[4] = x[0] + 1, x[1] + chars, x[2] + links, min(x[3], crc), max(x[4], crc)
-            rows = [(h, s, None, n, 0, 0, 0, 0) for (h, s), n in shapes.items()] + [(h, None, p, *x) for (h, p), x in slots.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "shape", "path", "pages", "chars", "links", "low", "high"])
+                    if len(x[5]) < 3 and content not in x[5]:
+                        x[5].append(content)
+            rows = [(h, s, None, n, 0, 0, 0, 0, []) for (h, s), n in shapes.items()] + [(h, None, p, *x) for (h, p), x in slots.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 9
+            kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "shape", "path", "pages", "chars", "links", "low", "high", "contents"])
 
     def infer(key, table):
         wrapper, evidence = None, {}
@@ -271,12 +289,12 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
                 node = wrap(json.loads(r["shape"]))
                 wrapper = node if wrapper is None else merge(wrapper, node)
             else:
-                evidence[r["path"]] = (r["pages"], r["chars"], r["links"], r["low"] == r["high"])
+                evidence[r["path"]] = (r["contents"], r["chars"], r["links"], r["low"] == r["high"])
         return pa.table({"host": [key[0].as_py()], "n_shapes": pa.array([n], pa.int64()), "expression": [expression(wrapper)], "slots": [json.dumps(slot_roles(slot_paths(wrapper), evidence))]})
 
     read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    reduced = read.mapInArrow(reduce_pages, "host string, shape string, path string, pages long, chars long, links long, low long, high long")
-    distinct = reduced.groupBy("host", "shape", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "links")), F.min("low").alias("low"), F.max("high").alias("high"))
+    reduced = read.mapInArrow(reduce_pages, "host string, shape string, path string, pages long, chars long, links long, low long, high long, contents array<long>")
+    distinct = reduced.groupBy("host", "shape", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "links")), F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("contents")))).alias("contents"))
     return distinct.groupBy("host").applyInArrow(infer, "host string, n_shapes long, expression string, slots string")
 
 

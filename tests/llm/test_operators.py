@@ -402,6 +402,13 @@ def test_html_mixed_templates(spark):
     assert extracted(spark, old + new) == [*(f"Old words {i}" for i in range(5)), "New words"]
 
 
+def test_html_copies_are_not_boilerplate(spark):
+    copies = [("http://copies.example/a", page("<div class='body'><p>One story</p></div>", "c", i)) for i in range(5)]
+    varied = [("http://both.example/v", page(f"<div class='x'><p>Same on all</p></div><div class='body'><p>Story {i}</p></div>", "b", i)) for i in range(4)]
+    group = [("http://both.example/g", page("<div class='x'><p>Same on all</p></div><section><p>Copied story</p></section>" + f"<div class='ad'>{i}</div>", "b", i)) for i in range(4)]
+    assert extracted(spark, copies + varied + group) == ["One story"] * 5 + [f"Story {i}" for i in range(4)] + ["Copied story"] * 4
+
+
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline
     from revlake.llm.quality import character_classes, fit_quality, statistics
