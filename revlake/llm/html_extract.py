@@ -35,6 +35,8 @@ BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising b
 MAIN_TAGS = frozenset(["article", "main"])
 P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLING_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+DEPTH = 400  # elements whose keys a slot's path spells out
+DEEP = "#deep"  # no element's name starts with this
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORDS = re.compile(r"[A-Za-z]+")
@@ -51,14 +53,37 @@ def boilerplate(key: str) -> bool:
     return not words.isdisjoint(BOILERPLATE_WORDS | BOILERPLATE_ROLES)
 
 
+@functools.lru_cache(1 << 14)
+def apart(path: str) -> bool:
+    """Whether a slot lies in a boilerplate container."""
+    if path.startswith(DEEP):
+        return path.endswith("b")
+    return any(boilerplate(k) for k in path.split("/") if k)
+
+
+@functools.lru_cache(1 << 14)
+def inside(path: str) -> bool:
+    """Whether a slot lies in an article or main element."""
+    if path.startswith(DEEP):
+        return "m" in path.rpartition("|")[2]
+    return any(k.partition("|")[0] in MAIN_TAGS or "role=main" in k for k in path.split("/"))
+
+
 class Page:
-    """Blocks of a page in order: (path of token keys, text, characters within links)."""
+    """Blocks of a page in order: (slot path, text, characters within links).
+
+    The path of a slot is the token keys of the elements it is in; below DEPTH elements a digest of all of them, with marks for
+    being inside an article (m) or a boilerplate container (b). So slots are told apart and rated at any depth, in
+    constant room; only in the shapes, which are for reading and recursive, is what lies deeper one slot.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
+        self.blocks: list[tuple[str, str, int]] = []
         self.events: list[tuple[int, str]] = []  # (depth, key) of each block element, in page order
         self._stack: list[str] = []
-        self._keys: list[str] = []
+        self._open: dict[str, list[int]] = {}  # places in the stack by element name
+        self._keys: list[str] = []  # of the first DEPTH elements
+        self._deep: list[str] = []  # of each element below them: its slot path
         self._text: list[str] = []
         self._links = self._in_link = 0
         self._read(source)
@@ -67,8 +92,10 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.blocks.append((tuple(self._keys), text, self._links))
-                self.events.append((len(self._keys), "#text"))
+                self.blocks.append((self._deep[-1] if self._deep else "/".join(self._keys), text, self._links))
+                if self._deep:
+                    self.events.append((DEPTH, DEEP))
+                self.events.append((len(self._keys) + bool(self._deep), "#text"))
             self._text, self._links = [], 0
 
     def _say(self, raw: str) -> None:
@@ -80,7 +107,25 @@ class Page:
 
     def _pop_to(self, depth: int) -> None:
         self._flush()
-        del self._stack[depth:], self._keys[depth:]
+        for name in self._stack[depth:]:
+            self._open[name].pop()
+        del self._stack[depth:], self._keys[depth:], self._deep[max(0, depth - DEPTH) :]
+
+    def _last(self, *names: str) -> int:
+        """Place in the stack of the innermost open element of the names, -1 if there is none."""
+        return max((self._open[n][-1] for n in names if self._open.get(n)), default=-1)
+
+    def _push(self, name: str, key: str) -> None:
+        self._open.setdefault(name, []).append(len(self._stack))
+        self._stack.append(name)
+        if len(self._stack) <= DEPTH:
+            self._keys.append(key)
+            self.events.append((len(self._keys) - 1, key))
+            return
+        above = self._deep[-1] if self._deep else "/".join(self._keys)
+        marks = "m" * (inside(above) or inside(key)) + "b" * (apart(above) or apart(key))
+        digest = hashlib.blake2b(f"{above}/{key}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        self._deep.append(f"{DEEP}|{digest}|{marks}")
 
     def _read(self, source: str) -> None:
         pos = 0
@@ -97,8 +142,8 @@ class Page:
                     self._in_link = 0
                 elif name == "br":
                     self._flush()
-                elif name not in INLINE and name in self._stack:
-                    self._pop_to(len(self._stack) - 1 - self._stack[::-1].index(name))
+                elif name not in INLINE and (at := self._last(name)) >= 0:
+                    self._pop_to(at)
                 continue
             if name == "a":
                 self._in_link = 1
@@ -111,18 +156,14 @@ class Page:
             self._flush()
             if name in VOID:
                 continue
-            if name in P_ENDS and "p" in self._stack:
-                self._pop_to(len(self._stack) - 1 - self._stack[::-1].index("p"))
+            if name in P_ENDS and (at := self._last("p")) >= 0:
+                self._pop_to(at)
             for other in SIBLING_ENDS.get(name, ()):
-                if other in self._stack and not {"ul", "ol", "dl", "table"} & set(self._stack[len(self._stack) - self._stack[::-1].index(other) :]):
-                    self._pop_to(len(self._stack) - 1 - self._stack[::-1].index(other))
-            if len(self._stack) >= 400:
-                continue
+                if (at := self._last(other)) > self._last("ul", "ol", "dl", "table"):
+                    self._pop_to(at)
             attributes = " ".join(sorted(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in ATTRIBUTE.findall(m[3])))
             attributes = re.sub(r"\d+", "0", attributes)
-            self._stack.append(name)
-            self._keys.append(f"{name}|{attributes}" if attributes else name)
-            self.events.append((len(self._keys) - 1, self._keys[-1]))
+            self._push(name, f"{name}|{attributes}" if attributes else name)
         self._say(source[pos:])
         self._pop_to(0)
 
@@ -208,17 +249,6 @@ def slot_paths(node: list, path: tuple[str, ...] = ()) -> list[str]:
     return (["/".join(path)] if node[0] == "#text" else []) + [p for c in node[3] for p in slot_paths(c, here)]
 
 
-@functools.lru_cache(1 << 14)
-def apart(path: str) -> bool:
-    """Whether a slot lies in a boilerplate container."""
-    return any(boilerplate(k) for k in path.split("/") if k)
-
-
-def inside(path: str) -> bool:
-    """Whether a slot lies in an article or main element."""
-    return any(k.partition("|")[0] in MAIN_TAGS or "role=main" in k for k in path.split("/"))
-
-
 def content_hash(slots: dict[str, list]) -> int:
     """Hash of what may be main text of a page: its slots but boilerplate and lists of links, so that copies of a page count once."""
     own = sorted((path, crc) for path, (chars, links, crc) in slots.items() if links * 2 <= chars and not apart(path))
@@ -243,8 +273,7 @@ def slot_roles(paths: list[str], evidence: dict[str, tuple[int, int, int, bool]]
 
 def main_text(page: Page, wanted: frozenset) -> str:
     """Texts of the page's slots inside its article, or of its other wanted slots if it has none."""
-    found = [("/".join(path), text) for path, text, _ in page.blocks]
-    found = [(inside(path), text) for path, text in found if path in wanted]
+    found = [(inside(path), text) for path, text, _ in page.blocks if path in wanted]
     article = any(i for i, _ in found)
     return "\n".join(text for i, text in found if i or not article)
 
@@ -266,7 +295,7 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
                 shapes[key] = shapes.get(key, 0) + 1
                 mine: dict[str, list] = {}
                 for path, text, links in page.blocks:
-                    x = mine.setdefault("/".join(path), [0, 0, 0])
+                    x = mine.setdefault(path, [0, 0, 0])
                     x[0], x[1], x[2] = x[0] + len(text), x[1] + links, zlib.crc32(text.encode("utf-8", "surrogatepass"), x[2])
                 content = content_hash(mine)
                 for path, (chars, links, crc) in mine.items():
@@ -290,7 +319,7 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
                 wrapper = node if wrapper is None else merge(wrapper, node)
             else:
                 evidence[r["path"]] = (r["contents"], r["chars"], r["links"], r["low"] == r["high"])
-        return pa.table({"host": [key[0].as_py()], "n_shapes": pa.array([n], pa.int64()), "expression": [expression(wrapper)], "slots": [json.dumps(slot_roles(slot_paths(wrapper), evidence))]})
+        return pa.table({"host": [key[0].as_py()], "n_shapes": pa.array([n], pa.int64()), "expression": [expression(wrapper)], "slots": [json.dumps(slot_roles(slot_paths(wrapper) + [p for p in evidence if p.startswith(DEEP)], evidence))]})
 
     read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     reduced = read.mapInArrow(reduce_pages, "host string, shape string, path string, pages long, chars long, links long, low long, high long, contents array<long>")
@@ -302,7 +331,7 @@ def extract_pages(pages: DataFrame, wrappers: DataFrame | None = None, *, id_col
     """page_id, url, text and n_chars of every page by its host's wrapper.
 
     Null or empty html gives an empty text; a null url belongs to the host "". Every row gives a row, repeated ones
-    too; an empty table gives an empty result. Extra columns are not read. Text is never cut.
+    too; an empty table gives an empty result. Extra columns are not read. Text is never cut, at no depth of elements.
     """
     wrappers = infer_wrappers(pages, url_col=url_col, html_col=html_col) if wrappers is None else wrappers
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))

@@ -409,6 +409,21 @@ def test_html_copies_are_not_boilerplate(spark):
     assert extracted(spark, copies + varied + group) == ["One story"] * 5 + [f"Story {i}" for i in range(4)] + ["Copied story"] * 4
 
 
+def test_html_deep_pages(spark):
+    rows = []
+    want = []
+    for depth in (300, 405, 3000):
+        for i in range(4):
+            down, up = "<div>" * depth, "</div>" * depth
+            rows.append((f"http://a{depth}.example/", page(f"{down}<nav><p>Menu</p></nav><article><div><p>Deep {i}</p></div></article><p>beside</p>{up}", "d", i)))
+            want.append(f"Deep {i}")
+            rows.append((f"http://b{depth}.example/", page(f"{down}<aside><div><p>Aside {i}</p></div></aside><section><p>Same</p></section><div><p>Own {i}</p></div>{up}<p>After {i}</p>", "d", i)))
+            want.append(f"Own {i}\nAfter {i}")
+            rows.append((f"http://c{depth}.example/", page(f"<article>{down}<p>In {i}</p><div><p>close</p></div><p>Still {i}</p>{up}</article><p>out</p>", "d", i)))
+            want.append(f"In {i}\nclose\nStill {i}")
+    assert extracted(spark, rows) == want
+
+
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline
     from revlake.llm.quality import character_classes, fit_quality, statistics
