@@ -96,6 +96,21 @@ def test_lm_scoring(spark, docs, odd):
     assert score_documents(odd.limit(0)).count() == 0
 
 
+def test_lm_filter_false_hits():
+    import inspect
+
+    from revlake.llm.lm_scoring import Table, build_filter, score_documents
+
+    given = {k: p.default for k, p in inspect.signature(score_documents).parameters.items()}
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(1, 1 << 48, 200_000, dtype=np.uint64))
+    bits = build_filter(keys, np.ones(len(keys), np.int64), given["bits_per_key"], given["probes_per_level"])
+    found = Table(Table.joined([(0, b"", b"", bits.tobytes())], 0, 1), 1, given["probes_per_level"])
+    assert (found.levels(keys) >= 1).all()
+    unseen = np.setdiff1d(rng.integers(1, 1 << 48, 200_000, dtype=np.uint64), keys)
+    assert (found.levels(unseen) > 0).mean() < 0.01
+
+
 def test_quality(spark, docs, odd):
     from revlake.llm.quality import fit_quality, keep_quality, score_quality
 
