@@ -1,7 +1,7 @@
 """Embedding near-dedup: a small-world graph per shard, every shard queried by every vector, verified cosines, components.
 
 Vectors are dealt to shards by a hash; each shard's graph is built in one task and audited: its beam is doubled until queries
-placed exactly at the threshold from known members find them. Blocks of vectors then query every shard (a stated
+placed exactly at the threshold from known members find them; a shard that never gets there is compared in full. Blocks of vectors then query every shard (a stated
 query set in blocks). Candidates are verified in double precision; a task reports how many links each of its vectors has in
 its shard and joins what it linked with a local union-find, so groups of copies give counts and stars, never pairs.
 
@@ -69,8 +69,10 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         x = unit(table.column("v"))
         graph = Graph(x)
         width = beam
-        while width < len(x) and graph.recall(least, width) < audit:
+        while not (passed := graph.recall(least, width) >= audit) and width * 8 <= len(x):
             width *= 2
+        if not passed:
+            width = 0  # vectors no link leads to are found at no beam, and a wider one costs more than all products: those answer this shard
         import pickle
 
         raw = table.column("v").combine_chunks()
@@ -89,7 +91,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         x = unit(raw)
         graph.x = np.ascontiguousarray(x, np.float32)
         q, ids = unit(queries.column("v")), queries.column("rep").to_numpy()
-        hits = [(lo, graph.within(q[lo : lo + 512].astype(np.float32), least - 1e-4, width)) for lo in range(0, len(q), 512)]
+        hits = [(lo, graph.within(q[lo : lo + 512].astype(np.float32), least - 1e-4, width) if width else graph.all_within(q[lo : lo + 512].astype(np.float32), least - 1e-4)) for lo in range(0, len(q), 512)]
         r, c = np.concatenate([lo + a for lo, (a, _) in hits]), np.concatenate([b for _, (_, b) in hits])
         exact = np.concatenate([np.einsum("id,id->i", q[r[i : i + 100_000]], x[c[i : i + 100_000]]) for i in range(0, len(r), 100_000)]) if len(r) else np.empty(0)
         keep = (exact >= least) & (ids[r] != reps[c])

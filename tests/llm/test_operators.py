@@ -304,6 +304,40 @@ def test_embeddings(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_large_shards(spark):
+    from revlake.llm.embed_dedup import near_vectors
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 16))
+    x[1:3000:2] = x[0:3000:2] + 0.3 * rng.standard_normal((1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, 0)
+    links = (s >= 0.9).sum(1)
+    found = np.zeros(6000, int)
+    for r in near_vectors(df, shards=2).collect():  # graphs, of about 3,000 vectors
+        found[r.vec_id] = r.n_links
+    assert (found <= links).all() and found.sum() >= 0.995 * links.sum() > 0
+    for r in near_vectors(df, shards=2, audit=1.1).collect():  # an audit that no beam passes: compared in full
+        found[r.vec_id] = r.n_links
+    assert (found == links).all()
+
+
+def test_cut_off_vectors_are_found():
+    from revlake.llm.hnsw import Graph
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph(x)
+    for layer in graph.layers:
+        layer.links[:] = -1  # no link leads anywhere
+    assert graph.recall(0.9, len(x)) < 0.995
+    r, c = graph.all_within(x.astype(np.float32), 0.9)
+    assert sorted(zip(r.tolist(), c.tolist(), strict=True)) == sorted((int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.9))
+
+
 def test_sentencepiece(spark, docs, odd):
     import sentencepiece
 
