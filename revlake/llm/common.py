@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 from collections.abc import Callable
-from itertools import islice
+from itertools import compress, islice, repeat
+from operator import is_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ class Memo:
             self.old, self.young = young, {}
             young = self.young
         got = list(map(young.get, keys))
-        missing = list(dict.fromkeys([k for k, v in zip(keys, got, strict=True) if v is None]))
+        missing = dict.fromkeys(compress(keys, map(is_, got, repeat(None))))
         if not missing:
             return got
         new = []

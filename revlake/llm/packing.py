@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -25,8 +26,20 @@ from pyspark.sql import functions as F
 
 from .common import KEPT, Memo, slices
 
-#: A stop or comma that ends a word after a letter or digit: a token of its own, so the word is looked up without it.
-STOP = re.compile(r"[.,](?<=[^\W_].)(?=\s|\Z)")
+#: Letters and digits below U+0180. The normaliser (NFC, lower case) leaves each a single character of its kind, but for U+0130, whose
+#: small form ends in a mark.
+LETTERS, DIGITS = ("".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == kind and c != "\u0130") for kind in "LN")
+#: A stop or comma that ends a word after one of them: a token of its own, so the word is looked up without it. Words of other
+#: characters are looked up with their stop.
+STOP = re.compile(rf"[.,](?<=[{LETTERS}{DIGITS}].)(?!\S)")
+#: Words of these and ASCII signs (but for "<|", with which special tokens begin), and the parts that the tokenizer takes them in.
+PLAIN = re.compile(rf"(?:(?!<\|)[{LETTERS}{DIGITS}!-/:-@\[-`{{-~])+")
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+")
+#: A character's UTF-8 bytes as the characters that stand for them in the vocabulary: printable bytes for themselves, the others from
+#: U+0100 on in order.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+BYTES = {c: "".join(_HIDDEN.get(b, chr(b)) for b in chr(c).encode()) for c in range(0x180)}
 _TOKENIZERS: dict[str, WordTokenizer] = {}  # one per file in a worker process, so that its memo serves later tasks
 KEPT.append(_TOKENIZERS)
 
@@ -52,7 +65,18 @@ class WordTokenizer:
         return _TOKENIZERS[path]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """The words' ids: plain words are cut into their parts here and merged by the tokenizer's model, others go all through it."""
+        plain, merged = PLAIN.fullmatch, self.tokenizer.model.tokenize
+        out: list[bytes | None] = []
+        for w in words:
+            if not plain(w):
+                out.append(None)
+            elif w.isascii() and w.isalpha():
+                out.append(array("I", [t.id for t in merged(w.lower())]).tobytes())
+            else:
+                out.append(array("I", [t.id for part in PARTS.findall(w.lower()) for t in merged(part if part.isascii() else part.translate(BYTES))]).tobytes())
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, x in zip(words, out, strict=True) if x is None], add_special_tokens=False))
+        return [array("I", next(rest).ids).tobytes() if x is None else x for x in out]
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         words = [STOP.sub(r" \g<0>", t.replace("\n", " ")).split(" ") for t in texts]
@@ -67,31 +91,36 @@ class WordTokenizer:
 
 
 class SumOfSquares:
-    """Level array of partially filled windows: add(size) returns the fill level to use (0: a new window)."""
+    """Level array of partially filled windows: choose(size) returns the fill level to use (0: a new window).
+
+    Two more arrays hold, by level from the window down to 0, what the sum of squares gains from one window more at the level and loses
+    from one less, so that a choice is one difference and its first minimum: of equals the fullest level.
+    """
+
+    NEVER = 1 << 40
 
     def __init__(self, window: int):
         self.window = window
         self.count = np.zeros(window + 1, np.int64)  # [0] and [window] stay 0
+        self.gain = np.ones(window + 1, np.int64)  # 2 n + 1; a full window leaves the array
+        self.loss = np.full(window + 1, -self.NEVER)  # 2 n - 1, from levels that hold a window; a new one is free
+        self.gain[0] = self.loss[window] = 0
 
     def choose(self, size: int) -> int:
         """The level h with h + size <= window that makes the sum of squares smallest; the fullest of equals."""
         w = self.window
-        if size >= w:
-            return 0
-        n = self.count
-        to = n[size : w + 1]  # counts at h + size for h = 0 .. w - size
-        change = 2 * to + 1
-        change[-1] = 0  # a full window leaves the array
-        start = n[: w - size + 1]
-        change = change - np.where(start > 0, 2 * start - 1, 0)
-        change[1:][start[1:] == 0] = np.iinfo(np.int64).max // 2
-        return int(len(change) - 1 - np.argmin(change[::-1]))
+        return 0 if size >= w else w - size - int(np.argmin(self.gain[: w - size + 1] - self.loss[size:]))
+
+    def _set(self, level: int, change: int) -> None:
+        n = self.count[level] = self.count[level] + change
+        self.gain[self.window - level] = 2 * n + 1
+        self.loss[self.window - level] = 2 * n - 1 if n else -self.NEVER
 
     def move(self, level: int, size: int) -> None:
         if level:
-            self.count[level] -= 1
+            self._set(level, -1)
         if level + size < self.window:
-            self.count[level + size] += 1
+            self._set(level + size, 1)
 
 
 class Packer:

@@ -228,6 +228,24 @@ def test_packing(spark, docs, odd):
         level.move(h, int(size))
 
 
+def test_word_tokenizer_is_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from revlake.llm.packing import WordTokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), WordTokenizer(path)
+    texts = [f"a{chr(c)}. {chr(c)}, B{chr(c)}'s {chr(c)}9x" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    rng = np.random.default_rng(6)
+    texts += ["".join(rng.choice(list("aZß'sİ.,é1 \u0301\u0307·ŉ²<|>-\n\tſŸ漢क़"), int(rng.integers(1, 25)))) for _ in range(20_000)]
+    texts += ["<|endoftext|>", "a<|endoftext|>.", "<|startoftext|>x", "<|", "don't we'll İ. ISN'T."]
+    for lo in range(0, len(texts), 5000):
+        part = texts[lo : lo + 5000]
+        want = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        got = [ids.tolist() for ids in own.encode_all(part)]
+        assert [t for t, a, b in zip(part, got, want, strict=True) if a != b] == []
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
