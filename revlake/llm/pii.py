@@ -12,7 +12,9 @@ values each, so their number is bounded whatever the corpus is.
 
 from __future__ import annotations
 
+import operator
 from collections import defaultdict
+from collections.abc import Callable
 from functools import partial
 from math import exp, log
 
@@ -32,8 +34,6 @@ WIDE = {
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "secret": r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\x20?[=:]\x20?[\"']?[a-z0-9_/+=-]{12,}+[\"']?",
 }
-# What a text must hold for a kind's patterns to be tried at all.
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|(?<=0))(?:\.|$)){4}$"
 ISSUERS = "^[3-6]"
 DOMAINS = r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$"
@@ -46,26 +46,51 @@ WORDS_BEFORE = {
 }
 
 
+SPAN = "struct<start:int,end:int,text:string,left:string,right:string>"
+#: Stands around matches while a text is cut. No pattern can match it, so where a text holds it another such character may stand for it.
+CUT, ALIKE = "\ufdd0", "\ufdd1"
+FAR = 1 << 30
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where use needs it for every element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running join (sum, greatest, least) of an array: log2(n) rounds, each over the array once."""
+    before = lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= F.call_function("shiftleft", F.lit(1), k), join(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)))).otherwise(x))
+    return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(F.aggregate(F.sequence(F.lit(0), F.floor(F.log2(F.size(v) - F.lit(0.5))).cast("int")), v, before)))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text, left, right) of the leftmost non-overlapping matches, in code points.
+    """Array of (start, end, text, left, right) of the leftmost non-overlapping matches, in code points; linear but for a logarithm.
 
-    The matches and the gaps between them add up to the text, so running lengths give the positions.
+    Matches and gaps alternate and add up to the text, so the running sum of their lengths gives the positions.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>").alias("out"))
+    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(CUT), F.lit(ALIKE)), F.lit(f"({pattern})"), F.lit(f"{CUT}$1{CUT}")), CUT, -1)
+
+    def spans(p: Column, ends: Column) -> Column:
+        span = lambda k: F.struct(F.get(ends, 2 * k).alias("start"), F.get(ends, 2 * k + 1).alias("end"), F.get(p, 2 * k + 1).alias("text"), F.call_function("right", F.get(p, 2 * k), F.lit(24)).alias("left"), F.call_function("left", F.get(p, 2 * k + 2), F.lit(1)).alias("right"))
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 2).cast("int") - 1), span)
+
+    return let(pieces, lambda p: F.when(F.size(p) < 3, F.array().cast(f"array<{SPAN}>")).otherwise(let(running(F.transform(p, F.length), lambda a, b: a + b), lambda ends: spans(p, ends))))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["g"])
-        end = at + F.length(x["m"])
-        span = F.struct(at.alias("start"), end.alias("end"), x["m"].alias("text"), F.call_function("right", x["g"], F.lit(24)).alias("left"), F.lit("").alias("right"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(both, start, step, lambda acc: acc["out"])
-    after = F.slice(gaps, F.lit(2), F.size(found))
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>")).otherwise(
-        F.zip_with(spans, after, lambda s, g: F.struct(s["start"], s["end"], s["text"], s["left"], F.call_function("left", g, F.lit(1)).alias("right")))
-    )
+def clear_of(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others, by start: the furthest end before a span and the nearest start after it decide."""
+    tag = lambda own: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), F.when(F.lit(own), s).alias("span"))
+    far = lambda e: F.when(e["own"], -1).otherwise(e["end"])
+    near = lambda e: F.when(e["own"], FAR).otherwise(e["start"])
+    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], a["end"] - b["end"]).otherwise(a["own"].cast("int") - b["own"].cast("int"))
+
+    def clear(both: Column) -> Column:
+        ends, starts = running(F.transform(both, far), F.greatest), F.reverse(running(F.reverse(F.transform(both, near)), F.least))
+        rated = F.zip_with(F.zip_with(both, ends, lambda e, x: F.struct(e.alias("e"), x.alias("x"))), starts, lambda e, y: F.struct(e["e"].alias("e"), (e["e"]["own"] & (e["x"] <= e["e"]["start"]) & (y >= e["e"]["end"])).alias("clear")))
+        return F.transform(F.filter(rated, lambda r: r["clear"]), lambda r: r["e"]["span"])
+
+    both = lambda v: F.array_sort(F.concat(F.transform(v["spans"], tag(True)), F.transform(v["others"], tag(False))), order)
+    return let(F.struct(spans.alias("spans"), others.alias("others")), lambda v: F.when((F.size(v["spans"]) == 0) | (F.size(v["others"]) == 0), v["spans"]).otherwise(let(both(v), clear)))
 
 
 def digits(c: Column) -> Column:
@@ -112,9 +137,8 @@ def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
     failed_card = F.filter("__card", lambda s: F.length(digits(s["text"])).between(13, 19) & ~_valid("card", s))
     failed_ip = F.filter("__ip", lambda s: ~_valid("ip", s))
     raw = raw.withColumn("__base", F.array_sort(F.concat(*good))).withColumn("__more", F.concat(failed_card, failed_ip, "__email2", "__phone2", "__secret2"))
-    apart = F.when(F.size("__more") == 0, F.col("__more")).otherwise(F.filter("__more", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     dropped = ["__digit", *(f"__{k}" for k in KINDS[:4]), *(f"__{k}2" for k in wide)]
-    return raw.withColumn("__more", apart).drop(*dropped)
+    return raw.withColumn("__more", clear_of(F.col("__more"), F.col("__base"))).drop(*dropped)
 
 
 def votes(s: Column) -> Column:
@@ -193,7 +217,11 @@ class SpanClassifier:
 
 
 def fit_pii(docs: DataFrame, *, text_col: str = "text") -> SpanClassifier:
-    """Counts votes and features over all documents' candidates and fits the classifier; no rows are sampled."""
+    """Counts votes and features over all documents' candidates and fits the classifier; no rows are sampled.
+
+    Null and empty texts have no candidates; ties and repeated rows count each; of an empty table no candidate is accepted. Other columns
+    are not read.
+    """
     spans = with_spans(docs.select(text_col), text_col).select(F.explode(F.concat("__base", "__more")).alias("s"))
     counted = spans.select(F.col("s.kind").alias("kind"), votes(F.col("s")).alias("v"), features(F.col("s")).alias("f")).groupBy("kind", "v", "f").agg(F.count("*").alias("n"))
     return SpanClassifier([(r.kind, r.v, r.f, r.n) for r in counted.collect()])
@@ -207,9 +235,9 @@ def find_pii(docs: DataFrame, model: SpanClassifier, *, text_col: str = "text")
     found = with_spans(docs, text_col)
     if model.accepted:
         accepted = F.filter("__more", lambda s: features(s).isin(model.accepted))
-        found = found.withColumn("__add", F.when(F.size("__more") == 0, F.col("__more")).otherwise(accepted))
-        clear = F.filter("__add", lambda s: ~F.exists("__add", lambda o: (o["rank"] < s["rank"]) & (o["start"] < s["end"]) & (s["start"] < o["end"])))
-        found = found.withColumn("__spans", F.when(F.size("__add") == 0, F.col("__base")).otherwise(F.array_sort(F.concat("__base", clear)))).drop("__add")
+        ranked = lambda add, rank, test: F.filter(add, lambda s: test(s["rank"], F.lit(rank)))
+        clear = lambda add: F.concat(ranked(add, 0, operator.eq), *(clear_of(ranked(add, r, operator.eq), ranked(add, r, operator.lt)) for r in range(1, len(KINDS))))
+        found = found.withColumn("__spans", F.when(F.size("__more") == 0, F.col("__base")).otherwise(let(accepted, lambda add: F.array_sort(F.concat(F.col("__base"), clear(add))))))
     else:
         found = found.withColumn("__spans", F.col("__base"))
     return found.drop("__more")
@@ -232,14 +260,24 @@ def report_pii(docs: DataFrame, model: SpanClassifier | None = None, *, id_col:
 
 
 def redact_pii(docs: DataFrame, model: SpanClassifier, *, text_col: str = "text") -> DataFrame:
-    """docs with their columns, each span of the text replaced by its kind in brackets; overlapping spans are replaced as one."""
+    """docs with their columns, each span of the text replaced by its kind in brackets; overlapping spans are replaced as one.
+
+    Of overlapping spans the first gives the kind. A null text stays null, a text without spans stays as it is; null ids, ties and repeated
+    rows are kept row by row; an empty table stays empty.
+    """
     found = find_pii(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), model)
-    text = F.col("__text")
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    block = 4096
+
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        """Code points from start to end, out of the blocks that hold them."""
+        lo, hi = F.floor(start / block).cast("int"), F.floor(end / block).cast("int")
+        return F.call_function("substring", F.array_join(F.slice(blocks, lo + 1, hi - lo + 1), ""), start - lo * block + 1, end - start)
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.array(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(s["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("pos"), new.alias("out")))
+    def redact(blocks: Column, spans: Column, ends: Column) -> Column:
+        done = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))  # noqa: E731  how far the spans before have come
+        parts = F.transform(spans, lambda s, i: F.when(s["start"] >= done(i), F.concat(cut(blocks, done(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), cut(blocks, F.get(ends, F.size(ends) - 1), F.lit(FAR)))
 
-    redacted = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.call_function("substring", text, acc["pos"] + 1)))
+    blocks = F.regexp_extract_all(F.col("__text"), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    redacted = let(F.struct(blocks.alias("b"), F.col("__spans").alias("s"), running(F.transform("__spans", lambda s: s["end"]), F.greatest).alias("e")), lambda v: redact(v["b"], v["s"], v["e"]))
     return found.select(F.col("row").withField(f"`{text_col}`", F.when(F.size("__spans") > 0, redacted).otherwise(F.col("text"))).alias("row")).select("row.*")

@@ -426,6 +426,32 @@ def test_pii(spark, docs, odd):
     assert post["k:1111"] > 0.95 and post["k:0000"] < 0.05
 
 
+def test_pii_many_matches(spark):
+    import time
+
+    from revlake.llm.pii import CUT, fit_pii, redact_pii, report_pii
+
+    n = 100_000
+    texts = [" ".join(f"a{i}@b.de" for i in range(n)), "\n".join(str(100 + i % 900) for i in range(n)), f"{CUT}a@b.de{CUT}1.2.3.4", "4539148803436467 token=abcdefabcdef123 " * 3000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    model = fit_pii(frame)
+    rows = {r.doc_id: r for r in report_pii(frame, model).collect()}
+    red = {r.doc_id: r.text for r in redact_pii(frame, model).collect()}
+    assert time.time() - began < 120
+    for d, t in enumerate(texts):
+        want = base_spans(t)
+        assert rows[d].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in rows[d].spans.split(",") if x)]
+        out, at = [], 0
+        for a, b, k in spans:
+            if a >= at:
+                out += [t[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert red[d] == "".join([*out, t[at:]])
+    assert rows[0].n_email == n and rows[1].spans == "" and red[1] == texts[1] and "secret" in rows[3].spans
+
+
 def page(body, host, i):
     return f"<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style><script>var a='<p>';</script></head><body><nav><ul><li><a href='/a'>A</a></li></ul></nav>{body}<footer>&copy; {host}</footer></body></html>"
 
