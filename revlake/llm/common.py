@@ -68,6 +68,9 @@ class Memo:
         young.update(zip(new, self.compute(new), strict=True))
         return [young[k] if v is None else v for k, v in zip(keys, got, strict=True)]
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def settle(self, keep: int) -> None:
         """At a task's end: keep the strings met first, which are the frequent ones, so that an idle worker holds little."""
         self.old = {}

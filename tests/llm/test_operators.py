@@ -379,6 +379,31 @@ def test_sentencepiece(spark, docs, odd):
     assert encode_documents(odd.limit(0), path).count() == 0
 
 
+def test_sentencepiece_blanks_stops_and_long_runs():
+    import time
+
+    import sentencepiece
+
+    from revlake.llm.sp_encode import BacktrackingEncoder
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, e = sentencepiece.SentencePieceProcessor(model_file=path), BacktrackingEncoder(path)
+    rng = np.random.default_rng(2)
+    texts = [a + " " * n + b for n in (*range(1, 70), 1000) for a in ("", "a", "x.") for b in ("", "w", "the", "漢", "\n", ".", ",x", "▁", "\ufdd0", "🀄")]
+    texts += ["".join(rng.choice(list("ab er in▁ \n\té漢<s>0.,  ▁\ufdd0xX'ſ"), int(rng.integers(0, 30)))) for _ in range(5000)]
+    for text, (ids, back) in zip(texts, e.encode_all(texts), strict=True):
+        assert ([int(i) for i in ids.split(",") if i], back) == (sp.encode(text), sp.decode(sp.encode(text))), text
+    pieces = [t for t in e.ids if t.strip("▁")]
+    for i, j in rng.integers(len(pieces), size=(5000, 2)).tolist():
+        left, right = pieces[i], pieces[j].lstrip("▁")
+        if right in e.ids:
+            assert e.fits(left, right) == (e.merge(left + right) == [left, right])
+    began = time.process_time()
+    for text in (" " * 1_000_000, "  " + "y" * 100_000, "ab" * 100_000):
+        e.encode(text)
+    assert time.process_time() - began < 20
+
+
 def base_spans(t):
     def luhn(s):
         total = 0
