@@ -25,12 +25,13 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, finalize, forget, materialize, pack48, part_of, parts_for, shingle_hashes, unpack48, word_hashes, words
 from .graph import connected_components
 
+PAST = 1 << 61  # ids are below it
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -95,7 +96,8 @@ def _send(parts: int, k: int, chunk_tokens: int) -> Callable:
 
 
 def _count(key, table):
-    """Gather of a part: exact document counts; back to each chunk go the shingles that several documents hold, with counts up to 255."""
+    """Gather of a part: exact document counts; back to each chunk go the shingles that several documents hold, with the counts' logarithms
+    in eighths, which order them by rarity however frequent they are."""
     part = key[0].as_py()
     rows = table.to_pylist()
     out = [(r["chunk"], True, r["docs"], b"", b"") for r in rows if r["head"]]
@@ -104,11 +106,11 @@ def _count(key, table):
         arrays = [unpack48(r["tokens"]) for r in rows]
         tokens = np.concatenate(arrays)
         _, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        held = np.minimum(counts, 255).astype(np.uint8)[at]
+        held = np.minimum(np.ceil(8 * np.log2(counts)), 255).astype(np.uint8)[at]
         end = np.cumsum([len(a) for a in arrays])
         for r, a, stop in zip(rows, arrays, end, strict=True):
             mine = held[stop - len(a) : stop]
-            shared = mine > 1
+            shared = mine > 0
             per_doc = np.frombuffer(r["docs"], "<u4")
             doc = np.repeat(np.arange(len(per_doc)), per_doc)[shared]
             full = (a[shared] & LOW48) | np.uint64(part << 48)
@@ -205,12 +207,13 @@ def jaccard_components(
     text_col: str = "text",
     shingle_words: int = 5,
     percent: int = 80,
-    block: int = 128,
+    block: int = 1024,
     chunk_tokens: int = 400_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link when 100 * intersection >= percent * union.
 
-    Null and empty texts and texts without words have no shingles and link with nothing. Rows of one id are one node. A
+    Null and empty texts and texts without words have no shingles and link with nothing. Rows of one id are one node with the links of
+    all their texts; each row keeps its own n_shingles. Ids are below 2^61. A
     null id links with nothing and has a null component. Empty tables give an empty result; extra columns are not read.
     """
     parts = min(parts_for(docs), 65_535)
@@ -220,18 +223,22 @@ def jaccard_components(
     nodes = materialize(counted.groupBy("chunk").applyInArrow(_assemble(percent), "doc_id long, n long, s1 long, s2 long, tokens array<long>, regions array<long>"), release=True)
 
     able = nodes.where("size(regions) > 0 and doc_id is not null")
-    same = able.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    copies = able.select("doc_id", "n", "s1", "s2").join(same, ["n", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    sets = materialize(able.join(same.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["n", "s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens", "regions"), release=True)
+    # A set is a node under the least id that has it; where one id has several sets, the others get nodes of their own past all ids.
+    key = ["n", "s1", "s2"]
+    first = F.row_number().over(Window.partitionBy("rep").orderBy(*key)) == 1
+    same = able.groupBy(*key).agg(F.min("doc_id").alias("rep")).withColumn("node", F.when(first, F.col("rep")).otherwise(F.lit(PAST) + F.pmod(F.xxhash64(*key), F.lit(PAST))))
+    held = able.join(same, key)
+    copies = held.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    sets = materialize(held.where("doc_id = rep").dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "n", "tokens", "regions"), release=True)
 
     members = sets.select(F.explode("regions").alias("region"), F.col("doc_id").alias("doc"))
     pivots = members.groupBy("region").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot <> last").select("region", "pivot")
     active = materialize(members.join(pivots.select("region"), "region"))
-    label = copies.select(F.col("a").alias("doc"), F.col("b").alias("component"))
+    label = copies.where(F.col("b") < PAST).select(F.col("a").alias("doc"), F.col("b").alias("component"))
     inside = active.join(active.groupBy("region").agg(F.min("doc").alias("pivot")), "region")
     pairs = inside.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     compared = materialize(_distances(pairs, sets, percent), release=True)
-    label = _relabel(label, compared.where("linked").select("a", "b"))
+    label = _relabel(label, compared.where("linked").select("a", "b").unionByName(copies.where(F.col("b") >= PAST)))
 
     # Open regions: those that still hold several components. Regions that share documents make a cluster.
     state = inside.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))

@@ -265,7 +265,7 @@ def components(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("block", [128, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_jaccard(spark, docs, odd, block):
     from revlake.llm.jaccard_join import jaccard_components
 
@@ -287,13 +287,23 @@ def test_jaccard(spark, docs, odd, block):
     pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components(ids, pairs)
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == {d: (len(sets[d]), want[d]) for d in ids}
-    if block == 128:
+    if block == 1024:
         rows = jaccard_components(odd).collect()
         assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2)} == {1}
         assert [r.component_id for r in rows if r.doc_id is None] == [None]
         assert jaccard_components(odd.limit(0)).count() == 0
 
 
+def test_jaccard_one_id_with_several_texts(spark):
+    from revlake.llm.jaccard_join import jaccard_components
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = " ".join([*b.split()[:-1], "other"])
+    rows = [(5, a), (5, b), (7, b), (3, near), (9, a), (11, "z " * 30)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (7, 3), (3, 3), (9, 3), (11, 11)} and len(got) == len(rows)
+
+
 def test_embeddings(spark):
     from revlake.llm.embed_dedup import near_vectors
 
