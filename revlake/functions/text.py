@@ -70,8 +70,3 @@ def clean(text: str) -> str:
     text = text.replace("−", "-").replace("⌀", "Ø")
     return " ".join(re.sub("(?<=\\d)\N{REPLACEMENT CHARACTER}(?=\\s*[.,]?\\d)", " ±", text).split())
 
-
-def cleaned(text: Column) -> Column:
-    """clean() as a Column."""
-    signs = F.translate(text, "−⌀", "-Ø")
-    return squeeze(F.regexp_replace(signs, "(?U)(?<=\\d)\N{REPLACEMENT CHARACTER}(?=\\s*[.,]?\\d)", " ±"))

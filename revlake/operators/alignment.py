@@ -78,6 +78,18 @@ def least_squares(old: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.array([scale, rotation, *shift])
 
 
+def least_squares_fits(pairs: DataFrame) -> DataFrame:
+    """(pair_id, page_index, anchors, transform): the similarity of least squares of all anchor pairs of a page, two at least."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["kind", "anchor_key"], kind="stable")
+        fit = least_squares(rows[["ox", "oy"]].to_numpy(float), rows[["nx", "ny"]].to_numpy(float))
+        return pd.DataFrame([{"pair_id": rows["pair_id"].iloc[0], "page_index": rows["page_index"].iloc[0], "anchors": len(rows), "transform": dict(zip(("scale", "rotation", "tx", "ty"), map(float, fit), strict=True))}] if len(rows) > 1 else [], columns=["pair_id", "page_index", "anchors", "transform"])
+
+    flat = pairs.select(*PAGE, "kind", "anchor_key", F.col("old.x").alias("ox"), F.col("old.y").alias("oy"), F.col("new.x").alias("nx"), F.col("new.y").alias("ny"))
+    return flat.groupBy(*PAGE).applyInPandas(kernel, f"pair_id string, page_index int, anchors long, transform {TRANSFORM}")
+
+
 def fit_page(old: np.ndarray, new: np.ndarray, settings: Settings = DEFAULTS) -> dict:
     """Status and transform from matched anchors, in their canonical order."""
     identity = (1.0, 0.0, 0.0, 0.0)

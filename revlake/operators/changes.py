@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.classify import reason, relevant, with_category
-from ..functions.text import digest, python_repr
+from ..functions.text import casefold, digest, python_repr
 from ..settings import CHANGE_TYPES, DEFAULTS, Settings
 from .areas import union_area
 from .matching import PAGE, Matches
@@ -135,15 +135,43 @@ def summaries(changes: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def filter_changes(changes: DataFrame, query: str = "", types: list[str] | None = None, categories: list[str] | None = None, relevant_only: bool = False) -> DataFrame:
-    """Changes that hold the query in any shown text (case ignored), of the given types and categories; an empty list keeps none."""
+    """Changes that hold the query in any shown text (case folded), of the given types and categories; an empty list keeps none."""
     tier = F.coalesce("match_tier", F.lit("unmatched"))
-    shown = F.lower(F.concat_ws(" ", (F.col("page_index") + 1).cast("string"), "change_type", "category", "label", "detail", "relevance_reason", tier, F.coalesce("before_text", F.lit("")), F.coalesce("after_text", F.lit(""))))
-    out = changes.where(F.contains(shown, F.lit(query.lower()))) if query else changes
+    shown = F.concat_ws(" ", (F.col("page_index") + 1).cast("string"), "change_type", "category", "label", "detail", "relevance_reason", tier, F.coalesce("before_text", F.lit("")), F.coalesce("after_text", F.lit("")))
+    out = changes
+    if query:  # ASCII texts are folded without Python
+        rows = changes.withColumn("__shown", shown)
+        ascii_text = F.col("__shown").rlike(r"^\p{ASCII}*$")
+        plain = rows.where(ascii_text & F.contains(F.lower("__shown"), F.lit(query.casefold())))
+        out = plain.unionByName(rows.where(~ascii_text).where(F.contains(casefold(F.col("__shown")), F.lit(query.casefold())))).drop("__shown")
     out = out if types is None else out.where(F.col("change_type").isin(types))
     out = out if categories is None else out.where(F.col("category").isin(categories))
     return out.where("inspection_relevant") if relevant_only else out
 
 
+def visible_regions(filtered: DataFrame, shown: dict[str, bool]) -> DataFrame:
+    """Filtered changes whose type's toggle is on; a type without a toggle is shown."""
+    return filtered.where(~F.col("change_type").isin([t for t, on in shown.items() if not on]))
+
+
+def page_view(changes: DataFrame, page_index: int) -> DataFrame:
+    """Changes of one page of every pair."""
+    return changes.where(F.col("page_index") == page_index)
+
+
+def selected_change(changes: DataFrame, filtered: DataFrame, change_id: str) -> DataFrame:
+    """The change of an id, with filters_cleared: whether the filters hide it and have to go."""
+    found = changes.where(F.col("id") == change_id)
+    seen = filtered.where(F.col("id") == change_id).select(*PAGE, "id").withColumn("__seen", F.lit(True))
+    return found.join(seen, [*PAGE, "id"], "left").withColumn("filters_cleared", F.col("__seen").isNull()).drop("__seen")
+
+
+def pixel_boxes(changes: DataFrame, width: float, height: float, zoom: float = 1.0, left: float = 0.0, top: float = 0.0) -> DataFrame:
+    """Adds pixels: the box on a page image of the given size in pixels, zoomed, with its corner at (left, top)."""
+    at = lambda c, extent, offset: F.col(f"bbox.{c}") * (extent * zoom) + offset
+    return changes.withColumn("pixels", G.box(at("x0", width, left), at("y0", height, top), at("x1", width, left), at("y1", height, top)))
+
+
 def change_table(changes: DataFrame) -> DataFrame:
     """The nine columns of a results table, as text."""
     score = F.when(F.col("similarity_score").isNull(), "N/A").otherwise(F.format_string("%.3f", "similarity_score"))

@@ -12,8 +12,9 @@ from ..functions.classify import with_category
 from ..functions.text import text_similarity
 from ..session import materialize
 from ..settings import DEFAULTS, Settings
-from .assignment import greedy, least_cost, reject_ambiguous
-from .spatial import neighbourhood, radius_join
+from .assignment import greedy, reject_ambiguous
+from .backend import NATIVE, MatchingBackend
+from .spatial import neighbourhood
 
 PAGE = ["pair_id", "page_index"]
 
@@ -113,12 +114,29 @@ class Matches:
         return self.entities.where("side = 'new'").join(self.matches.select(*PAGE, F.col("new_id").alias("id")), [*PAGE, "id"], "left_anti")
 
 
-def _scored(near: DataFrame, score, settings: Settings) -> DataFrame:
-    """Candidates with a score; the text similarities are computed once, in Arrow batches, ahead of the expression."""
+def _scored(near: DataFrame, score, least: float, settings: Settings) -> DataFrame:
+    """Candidates whose score is at least `least`. Text similarities, which need Python, are computed for those texts only that would
+    reach it if they were all alike: the score grows with them, so no other can."""
     o, n, t = F.col("o"), F.col("n"), F.col("t")
-    near = near.withColumn("content", F.when(o["kind"] == "text", text_similarity(o["text_normalized"], n["text_normalized"])))
-    near = near.withColumn("topology", F.when(is_callout(o) & is_callout(n), text_similarity(o["callout_structure"], n["callout_structure"])))
-    return near.withColumn("score", score(o, n, t, F.col("d"), F.col("content"), F.col("topology"), settings)).select(*PAGE, o["id"].alias("old_id"), n["id"].alias("new_id"), "score", "d", is_callout(o).alias("callout"))
+    one, null = F.lit(1.0), F.lit(None).cast("double")
+    rated = lambda df, content, topology: df.withColumn("score", score(o, n, t, F.col("d"), content, topology, settings)).where(F.col("score") >= least)
+    out = [*PAGE, o["id"].alias("old_id"), n["id"].alias("new_id"), "score", "d", is_callout(o).alias("callout")]
+    drawn = rated(near.where(o["kind"] == "geometry"), null, null).select(*out)
+    texts = rated(near.where(o["kind"] == "text"), one, one).drop("score")
+    texts = texts.withColumn("content", text_similarity(o["text_normalized"], n["text_normalized"]))
+    both = is_callout(o) & is_callout(n)
+    plain = texts.where(~both).withColumn("topology", null)
+    framed = texts.where(both).withColumn("topology", text_similarity(o["callout_structure"], n["callout_structure"]))
+    return drawn.unionByName(rated(plain.unionByName(framed), F.col("content"), F.col("topology")).select(*out))
+
+
+def exact_candidates(old: DataFrame, new: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Hash join of registered old and new rows on page, kind and content signature, within the exact radius.
+
+    old: pair_id, page_index, kind, sig, lx, ly and more; new: pair_id, page_index, kind, sig, rx, ry and more.
+    """
+    same = old.join(new, [*PAGE, "kind", "sig"])
+    return same.withColumn("d", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("d") <= settings.exact_radius)
 
 
 def prepare(entities: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -131,7 +149,7 @@ def prepare(entities: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return marked.join(glyphs, [*key, "id"], "left").withColumn("glyph", F.coalesce("glyph", F.lit(False))).join(neighbourhood(entities, key), [*key, "id"], "left")
 
 
-def match_entities(entities: DataFrame, transforms: DataFrame, settings: Settings = DEFAULTS) -> Matches:
+def match_entities(entities: DataFrame, transforms: DataFrame, settings: Settings = DEFAULTS, backend: MatchingBackend = NATIVE) -> Matches:
     """Pairs old with new entities page by page; each tier sees what the tiers before it left.
 
     transforms: (pair_id, page_index, transform). Pages without one are overlaid as they are.
@@ -144,8 +162,7 @@ def match_entities(entities: DataFrame, transforms: DataFrame, settings: Setting
     old = old.withColumns({"lx": F.col("p.x"), "ly": F.col("p.y"), "kind": F.col("o.kind")})
     new = side("new", "n").withColumns({"rx": F.col("n.anchor.x"), "ry": F.col("n.anchor.y"), "kind": F.col("n.kind")})
 
-    same = old.withColumn("sig", F.col("o.content_signature")).join(new.withColumn("sig", F.col("n.content_signature")), [*PAGE, "kind", "sig"])
-    same = same.withColumn("d", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).where(F.col("d") <= settings.exact_radius)
+    same = exact_candidates(old.withColumn("sig", F.col("o.content_signature")), new.withColumn("sig", F.col("n.content_signature")), settings)
     o, n, t = F.col("o"), F.col("n"), F.col("t")
     fit, _, _ = callout_features(o, n, t, settings)
     exact = same.where(~is_callout(o) | fit).select(*PAGE, o["id"].alias("old_id"), n["id"].alias("new_id"), F.lit(1.0).alias("score"), "d", is_callout(o).alias("callout"))
@@ -157,13 +174,13 @@ def match_entities(entities: DataFrame, transforms: DataFrame, settings: Setting
         return old.withColumn("__id", F.col("o.id")).join(a, [*PAGE, "__id"], "left_anti").drop("__id"), new.withColumn("__id", F.col("n.id")).join(b, [*PAGE, "__id"], "left_anti").drop("__id")
 
     rest_old, rest_new = leftover(first)
-    near = radius_join(rest_old, rest_new, [*PAGE, "kind"], settings.attribute_radius)
-    scored = materialize(_scored(near, attribute_score, settings).where(F.col("score") >= settings.attribute_score))
+    near = backend.radius_pairs(rest_old, rest_new, [*PAGE, "kind"], settings.attribute_radius)
+    scored = materialize(_scored(near, attribute_score, settings.attribute_score, settings))
     second = materialize(greedy(reject_ambiguous(scored, PAGE, settings.match_margin), PAGE).withColumn("tier", F.lit("attribute")))
 
     rest_old, rest_new = leftover(first.unionByName(second))
-    near = radius_join(rest_old, rest_new, [*PAGE, "kind"], settings.structural_radius)
-    scored = materialize(_scored(near, structural_score, settings).where(F.col("score") >= settings.structural_score))
-    third = materialize(least_cost(reject_ambiguous(scored, PAGE, settings.match_margin), PAGE, settings.structural_score, settings.sparse_from).withColumn("tier", F.lit("structural")))
+    near = backend.radius_pairs(rest_old, rest_new, [*PAGE, "kind"], settings.structural_radius)
+    scored = materialize(_scored(near, structural_score, settings.structural_score, settings))
+    third = materialize(backend.assign(reject_ambiguous(scored, PAGE, settings.match_margin), PAGE, settings.structural_score, settings.sparse_from).withColumn("tier", F.lit("structural")))
 
     return Matches(first.unionByName(second).unionByName(third).withColumn("score", F.round("score", 6)).drop("callout"), ready)

@@ -32,15 +32,19 @@ def radius_join(left: DataFrame, right: DataFrame, keys: list[str], radius: floa
 
 
 def nearest_join(points: DataFrame, keys: list[str], id_col: str, x: str, y: str, count: int) -> DataFrame:
-    """(keys, id, neighbour, rank, d): each point's `count` nearest of its page, itself first, ties by id.
+    """(keys, id, neighbour, rank, d): each point's `count` nearest of its page, itself first, ties by id. One page at a time."""
 
-    A page's points are compared with each other, so this is for pages of bounded size.
-    """
-    a = points.select(*keys, F.col(id_col).alias("id"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    b = points.select(*keys, F.col(id_col).alias("neighbour"), F.col(x).alias("__u"), F.col(y).alias("__v"))
-    pairs = a.join(b, keys).withColumn("d", F.sqrt((F.col("__x") - F.col("__u")) * (F.col("__x") - F.col("__u")) + (F.col("__y") - F.col("__v")) * (F.col("__y") - F.col("__v"))))
-    order = Window.partitionBy(*keys, "id").orderBy((F.col("id") != F.col("neighbour")).cast("int"), "d", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select(*keys, "id", "neighbour", "rank", "d")
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        d, at = nearest(pdf[["x", "y"]].to_numpy(), count)
+        ids, each = pdf["id"].to_numpy(), at.shape[1]
+        out = pdf[[*keys, "id"]].loc[pdf.index.repeat(each)].reset_index(drop=True)
+        return out.assign(neighbour=ids[at.ravel()], rank=np.tile(np.arange(1, each + 1), len(ids)), d=d.ravel())
+
+    rows = points.select(*keys, F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    kind = rows.schema["id"].dataType.simpleString()
+    ddl = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(kernel, f"{ddl}, id {kind}, neighbour {kind}, rank int, d double")
 
 
 def nearest(points: np.ndarray, count: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:

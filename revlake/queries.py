@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions.classify import reason, relevant, with_category
-from .functions.grammar import fragment_role
 from .functions.text import digest, normalize_text
-from .operators.alignment import align, anchor_pairs, unique_keys
+from .operators import callouts, matching
+from .operators.alignment import align, anchor_pairs, least_squares_fits, unique_keys
 from .operators.areas import union_area
 from .operators.changes import change_counts, change_table, filter_changes, summaries
 from .operators.matching import PAGE, attribute_score, match_entities
 from .operators.assignment import greedy, least_cost, reject_ambiguous
-from .operators.extraction import text_entities
-from .operators.ranking import clear_best, merge_intervals, mutual_best
+from .operators.extraction import number_duplicates, text_entities
 from .operators.spatial import nearest_join, neighbourhood, radius_join
 from .operators.validation import page_capabilities, validate
 from .plans.compare import Comparison, compare_entities
@@ -58,9 +57,8 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash join on page, kind and content, within the exact radius of the true shift."""
     e = _pair(spark, sf_dir)
-    o, n = _side(e, "old"), _side(e, "new")
-    j = o.join(n, [*PAGE, "kind"]).where(F.col("old_content_signature") == F.col("new_content_signature"))
-    return j.withColumn("d", F.hypot(F.col("lx") + 0.01 - F.col("rx"), F.col("ly") - 0.005 - F.col("ry"))).where("d <= 0.0025").select("page_index", "kind", "old_id", "new_id")
+    old = _side(e, "old").withColumnsRenamed({"old_content_signature": "sig"}).withColumns({"lx": F.col("lx") + 0.01, "ly": F.col("ly") - 0.005})
+    return matching.exact_candidates(old, _side(e, "new").withColumnRenamed("new_content_signature", "sig")).select("page_index", "kind", "old_id", "new_id")
 
 
 def unique_anchor_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +67,9 @@ def unique_anchor_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def least_squares_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed-form similarity fit of each page's anchors as aggregates."""
-    p = anchor_pairs(_pair(spark, sf_dir)).select("page_index", F.col("old.x").alias("a"), F.col("old.y").alias("b"), F.col("new.x").alias("c"), F.col("new.y").alias("d"))
-    m = p.join(p.groupBy("page_index").agg(*(F.avg(x).alias(f"m{x}") for x in "abcd"), F.count("*").alias("anchors")), "page_index")
-    a, b, c, d = (F.col(x) - F.col(f"m{x}") for x in "abcd")
-    s = m.groupBy("page_index", "anchors").agg(F.sum(a * c + b * d).alias("dot"), F.sum(a * d - b * c).alias("cross"), F.sum(a * a + b * b).alias("size")).where("anchors >= 2")
-    return s.select("page_index", "anchors", F.round(F.hypot("dot", "cross") / F.col("size"), 6).alias("scale"), F.round(F.atan2("cross", "dot"), 6).alias("rotation"))
+    """Closed-form similarity fit of each page's anchors."""
+    fits = least_squares_fits(anchor_pairs(_pair(spark, sf_dir)))
+    return fits.select("page_index", "anchors", F.round("transform.scale", 6).alias("scale"), F.round("transform.rotation", 6).alias("rotation"))
 
 
 def registration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +105,9 @@ def covered_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordinals among entities of one page and content, as ids of duplicates get them."""
-    e = _pair(spark, sf_dir).where("side = 'old'")
-    n = F.row_number().over(Window.partitionBy("page_index", "content_signature").orderBy("kind", "id")) - 1
-    return e.select("page_index", "id", n.cast("int").alias("ordinal"))
+    """Ids of duplicates: here all entities of one page and content have one id, and get numbers by kind and box."""
+    e = _pair(spark, sf_dir).where("side = 'old'").withColumns({"own": F.col("id"), "id": F.col("content_signature")})
+    return number_duplicates(e).select("page_index", F.col("own").alias("id"), F.col("id").alias("numbered"))
 
 
 def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +130,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     at = lambda m: F.element_at(F.array(*[F.lit(x) for x in m]), (k % len(m) + 1).cast("int"))
     box = G.box((k % 89) / F.lit(100.0), (k % 83) / F.lit(100.0), (k % 89) / F.lit(100.0) + 0.01, (k % 83) / F.lit(100.0) + 0.01)
-    return _orders(spark, sf_dir).where(k % 10 < 8).select(
+    return _orders(spark, sf_dir).select(
         (k % 7).cast("string").alias("pair_id"), (k % 23).cast("int").alias("page_index"), F.concat(F.lit("chg-"), k.cast("string")).alias("id"), at(["added", "removed", "moved", "modified"]).alias("change_type"), at(["DIMENSION", "GD&T", "NOTE", "REVISION", "GEOMETRY"]).alias("category"), (k % 3 == 0).alias("inspection_relevant"), F.lit("reason").alias("relevance_reason"), box.alias("bbox"),
         F.col("o_orderpriority").alias("label"), F.concat("o_orderpriority", F.lit(" changed.")).alias("detail"), F.when(k % 2 == 0, "exact").alias("match_tier"), F.when(k % 2 == 0, (k % 1000) / F.lit(1000.0)).alias("similarity_score"), F.lit(None).cast("string").alias("before_text"), F.col("o_orderstatus").alias("after_text"),
     )
@@ -192,14 +186,33 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("page_index", "old_id", "new_id", F.round(1 - F.col("d"), 6).alias("score"), "d", F.substring("old_id", -1, 1).isin("0", "3", "6", "9").alias("callout"))
 
 
+def _by_page(candidates: DataFrame, choose: Callable[[list[tuple[float, str, str]]], list[tuple[str, str]]]) -> DataFrame:
+    """(page_index, old_id, new_id) that a rule of the callout kernel chooses from a page's (d, old_id, new_id)."""
+
+    def kernel(pdf):
+        import pandas as pd
+
+        got = sorted(choose(list(zip(pdf["d"], pdf["old_id"], pdf["new_id"], strict=True))))
+        return pd.DataFrame({"page_index": pdf["page_index"].iloc[0], "old_id": [a for a, _ in got], "new_id": [b for _, b in got]})
+
+    return candidates.select("page_index", "d", "old_id", "new_id").groupBy("page_index").applyInPandas(kernel, "page_index int, old_id string, new_id string")
+
+
 def clear_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each old entity's best partner, where the next is clearly worse."""
-    return clear_best(_scored(spark, sf_dir), ["page_index", "old_id"], "new_id", "d", 0.02)
+
+    def choose(rows):
+        by: dict[str, list] = {}
+        for d, a, b in rows:
+            by.setdefault(a, []).append((d, b))
+        return [(a, best) for a, own in by.items() if (best := callouts.clear_best(own, 0.02)) is not None]
+
+    return _by_page(_scored(spark, sf_dir), choose)
 
 
 def mutual_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that clearly choose each other."""
-    return mutual_best(_scored(spark, sf_dir), ["page_index"], "old_id", "new_id", "d", 0.01)
+    return _by_page(_scored(spark, sf_dir), lambda rows: list(callouts.mutual(rows, 0.01)))
 
 
 def unambiguous_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +238,16 @@ def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Horizontal extents of old boxes merged within bands of the page."""
-    e = _pair(spark, sf_dir).where("side = 'old'").select("page_index", F.floor(F.col("bbox.y0") * 20).cast("int").alias("band"), F.col("bbox.x0").alias("lo"), F.col("bbox.x1").alias("hi"))
-    m = merge_intervals(e, ["page_index", "band"], "lo", "hi", 0.002)
+    """Horizontal extents of old boxes merged within bands of the page, as line runs are."""
+    e = _pair(spark, sf_dir).where("side = 'old'").select("page_index", F.floor(F.col("bbox.y0") * 20).cast("double").alias("band"), F.col("bbox.x0").alias("lo"), F.col("bbox.x1").alias("hi"), "id")
+
+    def kernel(pdf):
+        import pandas as pd
+
+        found = callouts.rails(list(zip(pdf["band"], pdf["lo"], pdf["hi"], pdf["id"], strict=True)), 0.002)
+        return pd.DataFrame([(pdf["page_index"].iloc[0], int(r.at), r.lo, r.hi, len(r.owners)) for r in found], columns=["page_index", "band", "lo", "hi", "members"])
+
+    m = e.groupBy("page_index").applyInPandas(kernel, "page_index int, band int, lo double, hi double, members long")
     return m.select("page_index", "band", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "members")
 
 
@@ -236,7 +256,8 @@ def fragment_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     n = lambda m: (k % m + 1).cast("string")
     texts = [F.concat(n(50), F.lit("X")), F.lit(" Ø "), F.concat(n(40), F.lit(".5")), F.concat(F.lit("±0."), n(9)), F.lit("THRU"), F.concat(F.lit("R"), n(9)), F.concat(n(90), F.lit("°")), F.lit("mm"), F.concat(F.lit("SHEET "), n(9)), F.concat(F.lit("⌀"), n(30), F.lit(" +/- 0.1")), F.lit("words"), F.lit("⌖")]
-    return _orders(spark, sf_dir).select(k.alias("k"), fragment_role(F.element_at(F.array(*texts), (k % 12 + 1).cast("int"))).alias("role"))
+    role = F.pandas_udf(lambda t: t.map(callouts.fragment_role), "string")
+    return _orders(spark, sf_dir).select(k.alias("k"), role(F.element_at(F.array(*texts), (k % 12 + 1).cast("int"))).alias("role"))
 
 
 def _raw_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -301,7 +322,7 @@ change as (
     ['added', 'removed', 'moved', 'modified'][o_orderkey % 4 + 1] as change_type, ['DIMENSION', 'GD&T', 'NOTE', 'REVISION', 'GEOMETRY'][o_orderkey % 5 + 1] as category, o_orderkey % 3 = 0 as relevant,
     o_orderpriority as label, case when o_orderkey % 2 = 0 then 'exact' end as tier, case when o_orderkey % 2 = 0 then (o_orderkey % 1000) / 1000e0 end as score, o_orderstatus as after_text,
     (o_orderkey % 89) / 100e0 as x0, (o_orderkey % 83) / 100e0 as y0, (o_orderkey % 89) / 100e0 + 0.01e0 as x1, (o_orderkey % 83) / 100e0 + 0.01e0 as y1
-  from orders where o_orderkey % 10 < 8)"""
+  from orders)"""
 
 
 def _area_sql(source: str, keys: str) -> str:
@@ -339,7 +360,7 @@ c as (select cast(floor(c_custkey / 30) as int) as page_index, c_custkey as k, c
 ORACLE_SQL: dict[str, str] = {
     "entity_table": f"with {_PAIR} select side, page_index, id, kind, round(x, 6) as x, round(y, 6) as y, text, content_signature from entity",
     "radius_pairs": f"with {_PAIR} select o.page_index, o.kind, o.id as old_id, n.id as new_id, round(sqrt((o.x - n.x) * (o.x - n.x) + (o.y - n.y) * (o.y - n.y)), 6) as d from entity o join entity n on o.side = 'old' and n.side = 'new' and o.page_index = n.page_index and o.kind = n.kind where sqrt((o.x - n.x) * (o.x - n.x) + (o.y - n.y) * (o.y - n.y)) <= 0.018e0",
-    "nearest_neighbours": f"with {_PAIR} select page_index, id, neighbour, cast(r as int) as rank, round(d, 6) as d from (select *, row_number() over (partition by page_index, id order by cast(id <> neighbour as int), d, neighbour) as r from (select a.page_index, a.id, b.id as neighbour, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from entity a join entity b on a.side = 'old' and b.side = 'old' and a.page_index = b.page_index)) where r <= 7",
+    "nearest_neighbours": f"with {_PAIR} select page_index, id, neighbour, cast(r as int) as rank, round(sqrt(q), 6) as d from (select *, row_number() over (partition by page_index, id order by cast(id <> neighbour as int), q, neighbour) as r from (select a.page_index, a.id, b.id as neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as q from entity a join entity b on a.side = 'old' and b.side = 'old' and a.page_index = b.page_index)) where r <= 7",
     "exact_candidates": f"with {_PAIR} select o.page_index, o.kind, o.id as old_id, n.id as new_id from entity o join entity n on o.side = 'old' and n.side = 'new' and o.page_index = n.page_index and o.kind = n.kind and o.content_signature = n.content_signature where sqrt((o.x + 0.01e0 - n.x) ** 2 + (o.y - 0.005e0 - n.y) ** 2) <= 0.0025e0",
     "unique_anchor_keys": f"with {_PAIR}, {_KEYS} select page_index, side, kind, anchor_key from uniq",
     "least_squares_fit": f"with {_PAIR}, {_KEYS}, pt as (select o.page_index, o.x as a, o.y as b, n.x as c, n.y as d from uniq o join uniq n on o.side = 'old' and n.side = 'new' and o.page_index = n.page_index and o.kind = n.kind and o.anchor_key = n.anchor_key), m as (select page_index, avg(a) as ma, avg(b) as mb, avg(c) as mc, avg(d) as md, count(*) as anchors from pt group by page_index), s as (select page_index, anchors, sum((a - ma) * (c - mc) + (b - mb) * (d - md)) as dot, sum((a - ma) * (d - md) - (b - mb) * (c - mc)) as crs, sum((a - ma) ** 2 + (b - mb) ** 2) as size from pt join m using (page_index) group by page_index, anchors) select page_index, anchors, round(sqrt(dot * dot + crs * crs) / size, 6) as scale, round(atan2(crs, dot), 6) as rotation from s where anchors >= 2",
@@ -367,7 +388,7 @@ n as (select page_index, count(*) filter (where k % 9 <> 0) as text_span_count,
 j as (select n.*, coalesce(i.a, 0) as ia, coalesce(s.a, 0) as sa from n left join area i on n.page_index = i.page_index and i.what = 'i' left join area s on n.page_index = s.page_index and s.what = 's')
 select page_index, text_span_count, image_count, round(ia, 5) as image_cover, round(sa, 5) as structured_cover, image_count > 0 and (text_span_count = 0 or ia >= 0.85e0 and (text_span_count <= 5 or sa <= 0.02e0)) as effectively_scanned from j""",
     "covered_area": f"with {_PAIR}, old_box as (select * from entity where side = 'old'), {_area_sql('old_box', 'page_index')}",
-    "duplicate_ordinals": f"with {_PAIR} select page_index, id, cast(row_number() over (partition by page_index, content_signature order by kind, id) - 1 as int) as ordinal from entity where side = 'old'",
+    "duplicate_ordinals": f"with {_PAIR}, n as (select *, row_number() over (partition by page_index, content_signature order by kind, x0, y0, x1, y1) - 1 as n from entity where side = 'old') select page_index, id, content_signature || case when n > 0 then '-' || cast(n as varchar) else '' end as numbered from n",
     "text_digests": "with p as (select p_partkey, trim(regexp_replace(p_name || '  ' || p_type, '\\s+', ' ', 'g')) as text, p_size from part) select p_partkey, text, substr(sha256('text|' || text || '|' || cast(p_size as varchar)), 1, 20) as content_signature, substr(sha256('text|' || text || '|' || cast(p_size as varchar)), 1, 16) as short from p",
     "document_gate": """with d as (select s_suppkey as k, 'f' || cast(s_suppkey as varchar) || case when s_suppkey % 7 = 0 then '.txt' else '.PDF' end as name, case when s_suppkey % 11 = 0 then 0 when s_suppkey % 13 = 0 then 209715200 else s_suppkey * 1000 end as size, s_suppkey % 5 = 0 as bad_header from supplier),
 e as (select k, name, case when k % 7 = 0 then ' is not a PDF. Only .pdf files are supported.' when size = 0 then ' is empty.' when size > 104857600 then ' exceeds the 100 MB size limit.' when bad_header then ' does not have a valid PDF header.' when k % 17 = 0 then ' is password protected.' when k % 4 < 1 then ' has no pages.' end as why from d)

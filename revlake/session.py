@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession, local_only: str) -> str:
+    """spark.checkpoint.dir; where it is unset a temporary folder on a master of one machine, an error on a cluster, whose machines share none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix=local_only)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in spark.checkpoint.dir; where that is unset (tests on one machine) in a temporary folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="revlake-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession, "revlake-"))
     return df.checkpoint()

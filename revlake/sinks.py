@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .operators.changes import in_order
 from .plans.compare import Comparison
 
 # The columns of the change list, and the colours of change types.
@@ -17,7 +18,7 @@ COLOURS = {"added": (0.12, 0.63, 0.29), "removed": (0.86, 0.18, 0.18), "moved":
 
 def change_list(changes: DataFrame) -> DataFrame:
     """The flat change list: pages from 1, ids joined by |, blanks for nulls, in reporting order."""
-    rows = changes.orderBy("pair_id", "page_index", "bbox.y0", "bbox.x0", "change_type", "id")
+    rows = in_order(changes)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return rows.select(
         "pair_id", (F.col("page_index") + 1).alias("page"), "change_type", "category", F.when(F.col("inspection_relevant"), "True").otherwise("False").alias("inspection_relevant"), "relevance_reason", "label", "detail", blank("match_tier"), blank("similarity_score"),

@@ -281,16 +281,6 @@ def test_roles(text):
     assert callouts.fragment_role(text) == ROLES[text]
 
 
-def test_roles_as_columns(spark):
-    from revlake.functions.grammar import fragment_role
-
-    rng = np.random.default_rng(9)
-    bits = ["4X ", "Ø", "R", "12.5", ".5", " ±0.1", "+0.2", " THRU", " MM", "°", " REF", ":", "NOTE ", "⌖", " A", "SR", "/", "-", "−", "2x", "DIA. ", "MMC", "(", ")"]
-    texts = [*ROLES, *("".join(rng.choice(bits, int(rng.integers(1, 5)))) for _ in range(1500))]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fragment_role(F.col("t")).alias("r")).collect()
-    assert [(r.t, r.r) for r in rows] == [(r.t, callouts.fragment_role(r.t)) for r in rows]
-
-
 def test_structures():
     s = callouts.dimension_structure
     assert s("4X Ø10.5 THRU", False) == "dimension:diameter" and s("R5", False) == "dimension:radius" and s("SR5", False) == "dimension:spherical-radius"
