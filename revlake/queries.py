@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions.classify import reason, relevant, with_category
 from .functions.text import digest, normalize_text
+from . import made_queries
 from .operators import callouts, matching
 from .operators.alignment import align, anchor_pairs, least_squares_fits, unique_keys
 from .operators.areas import union_area
@@ -289,6 +290,8 @@ def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entity_table, radius_pairs, nearest_neighbours, exact_candidates, unique_anchor_keys, least_squares_fit, registration, text_categories, geometry_scores, covered_area, duplicate_ordinals, text_digests, document_gate, filtered_changes, change_summary, counts_by_type, page_affected_area, clear_choices, mutual_choices, unambiguous_candidates, greedy_pairs, least_cost_pairs, context_vectors, merged_runs, fragment_roles, extracted_texts, page_inventory, tier_matches, compared_changes, compared_pages)}
 
+QUERIES |= made_queries.QUERIES
+
 _PAIR = """
 base as (
   select o_orderkey as k, cast(floor(o_orderkey / 250) as int) as page_index, ((o_orderkey * 7919) % 10007) / 10007e0 as x, ((o_orderkey * 104729) % 9973) / 9973e0 as y,
@@ -376,6 +379,14 @@ select page_index, id, category, relevant, case category when 'DIMENSION' then '
     "clear_choices": f"with {_CAND} {_clear_sql('old_id', 'new_id', '0.02e0')}",
     "mutual_choices": f"with {_CAND} select a.* from ({_clear_sql('old_id', 'new_id', '0.01e0')}) a join ({_clear_sql('new_id', 'old_id', '0.01e0')}) b using (page_index, old_id, new_id)",
     "unambiguous_candidates": f"with {_CAND}, bo as ({_close_sql('old_id')}), bn as ({_close_sql('new_id')}) select page_index, old_id, new_id, score from cand anti join bo using (page_index, old_id) anti join bn using (page_index, new_id)",
+    # Greedy choice by rounds: of the candidates left, those that come first for both their entities are taken.
+    "greedy_pairs": f"""with recursive {_CAND}, ordered as (select page_index, old_id, new_id, score, row_number() over (partition by page_index order by score desc, d, old_id, new_id) as place from cand),
+step as (select 0 as round, page_index, old_id, new_id, score, place, false as taken from ordered
+  union all
+  select * from (with open as (select * from step where not taken), marked as (select *, place = min(place) over (partition by page_index, old_id) and place = min(place) over (partition by page_index, new_id) as first from open),
+    gone as (select page_index, old_id, new_id from marked where first)
+    select round + 1, page_index, old_id, new_id, score, place, first from marked m where first or (not exists (select 1 from gone g where g.page_index = m.page_index and g.old_id = m.old_id) and not exists (select 1 from gone g where g.page_index = m.page_index and g.new_id = m.new_id))))
+select page_index, old_id, new_id, score from step where taken""",
     "context_vectors": f"with {_PAIR}, o as (select *, (x1 - x0) * (y1 - y0) as area from entity where side = 'old'), six as (select * from (select a.page_index, a.id, b.kind, b.area, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, row_number() over (partition by a.page_index, a.id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.kind, b.x0, b.y0) as r from o a join o b on a.page_index = b.page_index and a.id <> b.id) where r <= 6) select page_index, id, round(avg(cast(kind = 'text' as double)), 6) as text_share, round(avg(d), 6) as mean_distance, round(stddev_pop(d) + avg(area), 6) as spread from six group by page_index, id",
     "merged_runs": f"with {_PAIR}, o as (select page_index, cast(floor(y0 * 20) as int) as band, x0 as lo, x1 as hi from entity where side = 'old'), f as (select *, case when lo > max(hi) over (partition by page_index, band order by lo, hi rows between unbounded preceding and 1 preceding) + 0.002e0 then 1 else 0 end as nw from o), g as (select *, sum(nw) over (partition by page_index, band order by lo, hi rows between unbounded preceding and current row) as island from f) select page_index, band, round(min(lo), 6) as lo, round(max(hi), 6) as hi, count(*) as members from g group by page_index, band, island",
     "fragment_roles": "select o_orderkey as k, ['prefix', 'feature', 'nominal', 'tolerance', 'qualifier', 'core', 'nominal', 'unit', 'other', 'core', 'other', 'gdt'][o_orderkey % 12 + 1] as role from orders",
@@ -401,4 +412,4 @@ ca as (select pair_id, string_agg(cast(c as varchar) || ' ' || category, ', ' or
 select pair_id, changes, rel as relevant, 'Detected ' || changes || ' structured changes: ' || ty.types || '. ' || rel || ' are inspection-relevant (' || cats || '). Change boxes cover ' || format('{{:.2f}}', mean * 100) || '% of the average compared page area.' as summary from n join m using (pair_id) join ty using (pair_id) join ca using (pair_id)""",
     "counts_by_type": f"with {_LIST}, f as (select * from change where change_type <> 'moved' or pair_id <> '3'), t as (select distinct pair_id, ty as change_type from change, (select unnest(['added', 'removed', 'moved', 'modified']) as ty)) select pair_id, change_type, count(f.id) as changes from t left join f using (pair_id, change_type) group by all",
     "page_affected_area": f"with {_LIST}, {_area_sql('change', 'pair_id, page_index')}",
-}
+} | made_queries.ORACLE_SQL
