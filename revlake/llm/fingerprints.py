@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,10 @@ class Fingerprint:
         self.digest = np.zeros(DIGEST, np.uint64)
         self.sketch = np.zeros(SKETCH, np.uint16)
 
-    def _vectors(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def _vectors(self, text: str, run: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over a text's paragraphs; an empty text has none, an empty run of paragraphs (part of a text) an empty one."""
         data = text.encode("utf-8", "surrogatepass")
-        paragraphs = data.split(b"\n") if data else []
+        paragraphs = data.split(b"\n") if data or run else []
         digest = np.zeros(DIGEST, np.uint64)
         flat: list[bytes] = []
         closing = [b""] * (TRIPLE - 1)
@@ -48,8 +50,8 @@ class Fingerprint:
         lanes = np.bincount((h >> np.uint64(56)).astype(np.int64), weights=1.0 - 2.0 * (h & np.uint64(1)).astype(np.float64), minlength=SKETCH)
         return digest, lanes.astype(np.int64).astype(np.uint16)
 
-    def add(self, text: str) -> Fingerprint:
-        d, s = self._vectors(text)
+    def add(self, text: str, run: bool = False) -> Fingerprint:
+        d, s = self._vectors(text, run)
         self.digest, self.sketch = self.digest + d, self.sketch + s
         return self
 
@@ -58,6 +60,12 @@ class Fingerprint:
         self.digest, self.sketch = self.digest - d, self.sketch - s
         return self
 
+    def plus(self, other: Fingerprint) -> Fingerprint:
+        """Fingerprint of the paragraphs of both."""
+        out = Fingerprint(self.memo)
+        out.digest, out.sketch = self.digest + other.digest, self.sketch + other.sketch
+        return out
+
     def hex(self) -> str:
         return self.digest.astype("<u8").tobytes().hex() + self.sketch.astype("<u2").tobytes().hex()
 
@@ -76,6 +84,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def kept_paragraphs(text: str) -> int:
+    """Where the paragraphs end that edited() leaves as they are; -1 if it changes the first."""
+    return text.rfind("\n", 0, len(text) - len(text) // 2)
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_mb: int = 16) -> DataFrame:
     """Rows (bucket, extra, doc_id, text): key ranges of doc_id, each with a copy (extra) of the row that follows its last.
 
@@ -94,7 +107,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_mb: int = 16)
 
             @F.pandas_udf("int")
             def bucket_of(ids):
-                return ids.fillna(np.iinfo(np.int64).min).astype("int64").map(lambda x: int(np.searchsorted(sorted_bounds, x)))
+                return pd.Series(np.searchsorted(sorted_bounds, ids.fillna(np.iinfo(np.int64).min).astype("int64").to_numpy()).astype(np.int32))
 
             bucket = bucket_of("doc_id")
     rows = rows.withColumn("bucket", bucket.cast("int"))
@@ -128,11 +141,15 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         own = sorted((i for i in range(len(ids)) if not extra[i]), key=rank)
         copied = [i for i in range(len(ids)) if extra[i]]
         after = min(copied, key=rank)
-        prints = {i: Fingerprint(memo).add(texts[i]) for i in [*own, after]}
+        # A fingerprint is the sum of its paragraphs', so those that an edit keeps are hashed once for both texts.
+        ends = {i: kept_paragraphs(texts[i]) for i in own}
+        heads = {i: Fingerprint(memo).add(texts[i][:end], run=True) if end >= 0 else Fingerprint(memo) for i, end in ends.items()}
+        prints = {i: heads[i].plus(Fingerprint(memo).add(texts[i][ends[i] + 1 :], run=ends[i] >= 0)) for i in own}
+        prints[after] = Fingerprint(memo).add(texts[after])
         got = []
         for i, j in zip(own, [*own[1:], after], strict=True):
             new = edited(texts[i], texts[j])
-            fp = Fingerprint(memo).add(new)
+            fp = heads[i].plus(Fingerprint(memo).add(new[ends[i] + 1 :], run=ends[i] >= 0))
             got.append((ids[i], len(texts[i]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), prints[i].hex(), fp.hex(), prints[i].likeness(fp), prints[i].likeness(prints[j])))
         return pa.Table.from_pydict({f.name: [r[k] for r in got] for k, f in enumerate(out)}, schema=out)
 

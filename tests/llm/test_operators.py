@@ -59,6 +59,28 @@ def test_fingerprints(spark, docs, odd):
     both = Fingerprint().add("\n".join(parts))
     assert both.hex() == Fingerprint().add("\n".join(reversed(parts))).hex()
     assert Fingerprint().add("a b c\nd").add("e f").remove("d").hex() == Fingerprint().add("e f\na b c").hex()
+    # By hand: digests and triples of every paragraph, summed; the likeness is their cosine.
+    def plain(text):
+        digest, lanes = np.zeros(4, np.uint64), np.zeros(256)
+        for p in text.split("\n") if text else []:
+            digest = digest + np.frombuffer(hashlib.blake2b(p.encode(), digest_size=32).digest(), "<u8")
+            one = Fingerprint().add(p).sketch.astype(np.int16)
+            lanes += one
+        return digest, lanes
+
+    for d, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        new = edited(texts[d], texts[nxt])
+        (da, a), (db, b), (_, c) = plain(texts[d]), plain(new), plain(texts[nxt])
+        assert got[d].edited_fingerprint[:64] == db.astype("<u8").tobytes().hex() and got[d].fingerprint[:64] == da.astype("<u8").tobytes().hex()
+        for x, near, same in ((b, got[d].near_edited, sorted(new.split("\n")) == sorted(texts[d].split("\n"))), (c, got[d].near_next, texts[d] == texts[nxt])):
+            size = math.sqrt(a @ a * (x @ x))
+            want = 1.0 if same else max(a @ x / size, 0.0) if size else 0.0
+            assert abs(near - want) < 1e-8
+    edits = [("", "x"), ("\n", "ab\n"), ("\n\n\n", "\nq"), ("a\nb", ""), ("ab\n", "cd\nef"), ("x\n\ny\nz z z z", "k l m n o p")]
+    made = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(edits) for j, t in enumerate(pair[::-1])], "doc_id long, text string")
+    by = {r.doc_id: r for r in fingerprint_edits(made).collect()}
+    for i, (t, nxt) in enumerate(edits):
+        assert (by[2 * i + 1].fingerprint, by[2 * i + 1].edited_fingerprint) == (Fingerprint().add(t).hex(), Fingerprint().add(edited(t, nxt)).hex())
     rows = fingerprint_edits(odd).collect()
     assert len(rows) == len(ODD) and len({r.fingerprint for r in rows if r.doc_id in (1, 2)}) == 1
     assert fingerprint_edits(odd.limit(0)).count() == 0
@@ -350,6 +372,14 @@ def test_embeddings_in_large_shards(spark):
     for r in near_vectors(df, shards=2, audit=1.1).collect():  # an audit that no beam passes: compared in full
         found[r.vec_id] = r.n_links
     assert (found == links).all()
+    for r in near_vectors(df, shards=2, beam=1, audit=0.0).collect():  # a beam so narrow that many links are found from one end only
+        found[r.vec_id] = r.n_links
+    assert (found == links).all()
+    asked = np.arange(0, 6000, 100)  # recall of stated queries against all rows, by the graph alone
+    from revlake.llm.hnsw import Graph
+
+    got = Graph(unit.astype(np.float32)).within(unit[asked].astype(np.float32), 0.9, 32)
+    assert len(got[0]) >= 0.9 * int((unit[asked] @ unit.T >= 0.9).sum())
 
 
 def test_cut_off_vectors_are_found():
