@@ -5,6 +5,9 @@ placed exactly at the threshold from known members find them; a shard that never
 query set in blocks). Candidates are verified in double precision; a task reports how many links each of its vectors has in
 its shard and joins what it linked with a local union-find, so groups of copies give counts and stars, never pairs.
 
+A link must be found from both its ends. Each pair of shards sums a checksum of its links that opposite finds cancel; pairs of shards
+where it is not 0 are compared in full.
+
 Scale: equal vectors are folded first. A shard holds about `shard_rows` vectors, so a task's memory is bounded; work grows with
 vectors times shards.
 """
@@ -81,30 +84,59 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     graphs = materialize(keyed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"))
 
-    def search(key, queries, found):
+    schema = "rep long, links long, root long, low int, high int"
+    none = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]).empty_table()
+
+    def searched(key, queries, found, full: bool):
         import pickle
 
-        none = pa.table({c: pa.array([], pa.int64()) for c in ("rep", "links", "root")})
         if not len(queries) or not len(found):
             return none
         graph, raw, reps, copies, width = pickle.loads(found.column("graph")[0].as_py())
         x = unit(raw)
         graph.x = np.ascontiguousarray(x, np.float32)
-        q, ids = unit(queries.column("v")), queries.column("rep").to_numpy()
-        hits = [(lo, graph.within(q[lo : lo + 512].astype(np.float32), least - 1e-4, width) if width else graph.all_within(q[lo : lo + 512].astype(np.float32), least - 1e-4)) for lo in range(0, len(q), 512)]
+        q, ids, source = unit(queries.column("v")), queries.column("rep").to_numpy(), queries.column("source").to_numpy()
+        hits = [(lo, graph.within(q[lo : lo + 512].astype(np.float32), least - 1e-4, width) if width and not full else graph.all_within(q[lo : lo + 512].astype(np.float32), least - 1e-4)) for lo in range(0, len(q), 512)]
         r, c = np.concatenate([lo + a for lo, (a, _) in hits]), np.concatenate([b for _, (_, b) in hits])
         exact = np.concatenate([np.einsum("id,id->i", q[r[i : i + 100_000]], x[c[i : i + 100_000]]) for i in range(0, len(r), 100_000)]) if len(r) else np.empty(0)
         keep = (exact >= least) & (ids[r] != reps[c])
         r, c = r[keep], c[keep]
-        links = np.bincount(r, weights=copies[c], minlength=len(ids)).astype(np.int64)
-        up = roots(np.stack([ids[r], reps[c]], 1))
-        own = np.flatnonzero(links)
-        nodes = np.array(sorted(up), np.int64)
-        return pa.table({"rep": np.r_[ids[own], nodes].astype(np.int64), "links": np.r_[links[own], np.zeros(len(nodes), np.int64)], "root": pa.array([None] * len(own) + [up[int(a)] for a in nodes], pa.int64())})
+        there = key[1].as_py()
+        tables = [none]
+        for here in np.unique(source[r]).tolist():  # links from one shard to another are counted apart
+            own = source[r] == here
+            a, b = ids[r[own]], reps[c[own]]
+            links = np.bincount(r[own], weights=copies[c[own]], minlength=len(ids)).astype(np.int64)
+            up = roots(np.stack([a, b], 1))
+            at, nodes = np.flatnonzero(links), np.array(sorted(up), np.int64)
+            mixed = (np.minimum(a, b) * np.int64(0x5851F42D4C957F2D) + np.maximum(a, b)) >> np.int64(40) & np.int64(0xFFFFF)
+            both = int(np.where(a < b, mixed + 1, -mixed - 1).sum())  # with the opposite links, which give the opposite, 0
+            size = len(at) + len(nodes) + 1
+            tables.append(
+                pa.table(
+                    [pa.array([*ids[at].tolist(), *nodes.tolist(), None], pa.int64()), pa.array([*links[at].tolist(), *[0] * len(nodes), both], pa.int64()), pa.array([*[None] * len(at), *(up[int(x)] for x in nodes), None], pa.int64()), pa.array([min(here, there)] * size, pa.int32()), pa.array([max(here, there)] * size, pa.int32())],
+                    schema=none.schema,
+                )
+            )
+        return pa.concat_tables(tables)
+
+    def search(key, queries, found):
+        return searched(key, queries, found, False)
+
+    def compare(key, queries, found):
+        return searched(key, queries, found, True)
 
-    asked = keyed.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = keyed.withColumnRenamed("shard", "source").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     graph_of = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = materialize(asked.groupBy("dim", "shard", "block").cogroup(graph_of.groupBy("dim", "shard", "block")).applyInArrow(search, "rep long, links long, root long"))
+    found = materialize(asked.groupBy("dim", "shard", "block").cogroup(graph_of.groupBy("dim", "shard", "block")).applyInArrow(search, schema))
+    # A link found from one end only: the shards' checksums are not 0, and these shards are compared in full.
+    uneven = materialize(found.where("rep is null").groupBy("low", "high").agg(F.sum("links").alias("sum")).where("sum <> 0").select("low", "high"))
+    if uneven.first() is not None:
+        pair = [F.least("source", "shard").alias("low"), F.greatest("source", "shard").alias("high")]
+        again = asked.select("*", *pair).join(uneven, ["low", "high"], "left_semi").drop("low", "high")
+        whole = again.groupBy("dim", "shard", "block").cogroup(graph_of.groupBy("dim", "shard", "block")).applyInArrow(compare, schema)
+        found = materialize(found.join(uneven, ["low", "high"], "left_anti").select(*none.schema.names).unionByName(whole))
+    found = found.where("rep is not null")
     component = connected_components(found.where("root is not null and root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
     counted = found.where("root is null").groupBy("rep").agg(F.sum("links").alias("links"))
     named = folded.join(counted, "rep", "left").join(component, "rep", "left").select("v", F.col("rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
