@@ -14,8 +14,9 @@ through their pivots. Any link not yet known lies in an open region, between a s
 
 Scale: shingle counts are exact over all documents. Tasks exchange sorted hash arrays, one binary per task and key range, so
 no shingle, however frequent, makes a large partition; equal sets are folded first; a group of near copies is linked to its pivots
-and never expanded to pairs. Clusters are dealt in blocks of documents to which their sites are copied. Nothing is broadcast or
-collected.
+and never expanded to pairs. A cluster's documents and its sites are dealt in blocks, and each block of the one is compared with each of the
+other, so a task holds two blocks however large the cluster is; of a cluster of m documents m^2 / block rows are sent at most. Nothing is
+broadcast or collected.
 """
 
 from __future__ import annotations
@@ -207,7 +208,7 @@ def jaccard_components(
     text_col: str = "text",
     shingle_words: int = 5,
     percent: int = 80,
-    block: int = 1024,
+    block: int = 512,
     chunk_tokens: int = 400_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link when 100 * intersection >= percent * union.
@@ -248,12 +249,15 @@ def jaccard_components(
     nearest = compared.groupBy(F.col("a").alias("doc")).agg(F.min_by("b", "d").alias("pivot"), F.min("d").alias("d"))
     held = opened.select("doc", "component").distinct().join(cluster, "doc").join(nearest, "doc", "left")
     parts_of = held.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    largest = parts_of.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("docs"))
-    held = held.join(largest, "cluster").withColumn("blocks", F.ceil(F.col("docs") / block).cast("int")).join(sets.select(F.col("doc_id").alias("doc"), "n", "tokens"), "doc")
+    largest = parts_of.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("docs"), F.max("size").alias("top"))
+    in_blocks = lambda size: F.greatest(F.ceil(size / block).cast("int"), F.lit(1))
+    held = held.join(largest, "cluster").withColumns({"blocks": in_blocks(F.col("docs")), "site_blocks": in_blocks(F.col("docs") - F.col("top"))}).join(sets.select(F.col("doc_id").alias("doc"), "n", "tokens"), "doc")
     columns = ["cluster", "doc", "component", "pivot", "d", "n", "tokens"]
-    members = held.select(*columns, F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.lit(False).alias("site"))
-    sites = held.where("component <> largest").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("site"))
-    links = members.unionByName(sites).groupBy("cluster", "block").applyInArrow(_compare(percent), "a long, b long")
+    dealt = lambda value, blocks: F.pmod(value, F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    members = held.select(*columns, dealt(F.xxhash64("doc"), "blocks").alias("block"), every("site_blocks").alias("site_block"), F.lit(False).alias("site"))
+    sites = held.where("component <> largest").select(*columns, every("blocks").alias("block"), dealt(F.xxhash64("doc", F.lit(1)), "site_blocks").alias("site_block"), F.lit(True).alias("site"))
+    links = members.unionByName(sites).groupBy("cluster", "block", "site_block").applyInArrow(_compare(percent), "a long, b long")
     label = _relabel(label, links)
     label = label.withColumnRenamed("doc", "doc_id").groupBy("doc_id").agg(F.min("component").alias("component"))
     return nodes.select("doc_id", "n").join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -287,7 +287,7 @@ def components(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [512, 3])
 def test_jaccard(spark, docs, odd, block):
     from revlake.llm.jaccard_join import jaccard_components
 
@@ -309,7 +309,7 @@ def test_jaccard(spark, docs, odd, block):
     pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components(ids, pairs)
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == {d: (len(sets[d]), want[d]) for d in ids}
-    if block == 1024:
+    if block == 512:
         rows = jaccard_components(odd).collect()
         assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2)} == {1}
         assert [r.component_id for r in rows if r.doc_id is None] == [None]
