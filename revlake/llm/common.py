@@ -141,9 +141,13 @@ def parts_for(df: DataFrame, mb: int = 16) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; where it is unset (tests on one machine) a temporary one."""
+    """Use the shared folder of spark.checkpoint.dir. Where it is unset, one machine uses a temporary one, and a cluster, whose machines
+    share none, is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="revlake-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="revlake-checkpoint-"))
 
 
 def materialize(df: DataFrame, release: bool = False) -> DataFrame:
