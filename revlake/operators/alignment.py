@@ -107,16 +107,15 @@ def fit_page(old: np.ndarray, new: np.ndarray, settings: Settings = DEFAULTS) ->
     rotation = np.arctan2(dn[good, 1], dn[good, 0]) - np.arctan2(do[good, 1], do[good, 0])
     c, s = scale * np.cos(rotation), scale * np.sin(rotation)
     fits = np.stack([scale, rotation, new[a, 0] - (c * old[a, 0] - s * old[a, 1]), new[a, 1] - (s * old[a, 0] + c * old[a, 1])], 1)
-    best, best_rank = None, (0, -np.inf, -np.inf)
-    for lo_ in range(0, len(fits), 256):
-        r = residuals(old, new, fits[lo_ : lo_ + 256])
-        for fit, row in zip(fits[lo_ : lo_ + 256], r, strict=True):
-            inside = row <= settings.inlier_tolerance
-            if inside.sum() < 2:
-                continue
-            rank = (int(inside.sum()), -float(np.sqrt(np.mean(row[inside] ** 2))), -abs(fit[0] - 1))
+    best, best_rank = None, (1, -np.inf, -np.inf)
+    for at in range(0, len(fits), 256):
+        r = residuals(old, new, fits[at : at + 256])
+        within = r <= settings.inlier_tolerance
+        count = within.sum(1)
+        for k in np.flatnonzero(count >= max(2, best_rank[0], count.max())):  # of fits with fewer inliers none is the best
+            rank = (int(count[k]), -float(np.sqrt(np.mean(r[k][within[k]] ** 2))), -abs(fits[at + k][0] - 1))
             if rank > best_rank:
-                best, best_rank = np.flatnonzero(inside), rank
+                best, best_rank = np.flatnonzero(within[k]), rank
     if best is None:
         return dict(status="failed", transform=identity, anchor_count=n, inlier_count=0, inlier_ratio=0.0, rms_residual=0.0, note=NOTES["no_fit"])
     for _ in range(2):

@@ -121,13 +121,13 @@ def _scored(near: DataFrame, score, least: float, settings: Settings) -> DataFra
     one, null = F.lit(1.0), F.lit(None).cast("double")
     rated = lambda df, content, topology: df.withColumn("score", score(o, n, t, F.col("d"), content, topology, settings)).where(F.col("score") >= least)
     out = [*PAGE, o["id"].alias("old_id"), n["id"].alias("new_id"), "score", "d", is_callout(o).alias("callout")]
-    drawn = rated(near.where(o["kind"] == "geometry"), null, null).select(*out)
-    texts = rated(near.where(o["kind"] == "text"), one, one).drop("score")
-    texts = texts.withColumn("content", text_similarity(o["text_normalized"], n["text_normalized"]))
+    rated = lambda df, content, topology: df.withColumn("score", score(o, n, t, F.col("d"), content, topology, settings)).where(F.col("score") >= least)
+    near = materialize(rated(near, one, one))
+    texts = near.where(o["kind"] == "text").drop("score").withColumn("content", text_similarity(o["text_normalized"], n["text_normalized"]))
     both = is_callout(o) & is_callout(n)
     plain = texts.where(~both).withColumn("topology", null)
     framed = texts.where(both).withColumn("topology", text_similarity(o["callout_structure"], n["callout_structure"]))
-    return drawn.unionByName(rated(plain.unionByName(framed), F.col("content"), F.col("topology")).select(*out))
+    return near.where(o["kind"] == "geometry").select(*out).unionByName(rated(plain.unionByName(framed), F.col("content"), F.col("topology")).select(*out))
 
 
 def exact_candidates(old: DataFrame, new: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
