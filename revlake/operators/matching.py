@@ -67,6 +67,9 @@ def is_callout(e: Column) -> Column:
     return e["callout_category"].isNotNull()
 
 
+# The weights of the two scores and of their parts.
+
+
 def attribute_score(o: Column, n: Column, t: Column, d: Column, content: Column, topology: Column, settings: Settings = DEFAULTS) -> Column:
     """Score of an edit in place. content and topology: text similarities, null where they do not apply."""
     compatible, _, attachment = callout_features(o, n, t, settings)

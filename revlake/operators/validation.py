@@ -77,6 +77,9 @@ def validate(documents: DataFrame, capabilities: DataFrame, settings: Settings =
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, size_bytes and header of files, for the gate: only the first five bytes of content are kept."""
+    """file_name, size_bytes and header of files, for the gate: only the first five bytes of content are kept.
+
+    Spark's reader lists no empty files, so a document that has no row here is missing or empty.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"), F.decode(F.substring("content", 1, 5), F.lit("ISO-8859-1")).alias("header"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"), F.decode(F.substring("content", 1, 5), "ISO-8859-1").alias("header"))

@@ -314,6 +314,7 @@ _KEYS = """
 keyed as (select page_index, side, kind, x, y, case when kind = 'text' then case when length(text) >= 2 then lower(text) end else 'shape-' || cast(k % 400 as varchar) end as anchor_key from entity),
 uniq as (select page_index, side, kind, anchor_key, any_value(x) as x, any_value(y) as y from keyed where anchor_key is not null and anchor_key <> '' group by all having count(*) = 1)"""
 
+# The classifier's words and token pattern, as SQL writes them.
 _GDT = "(regexp_matches(text, '[⌖⏥⏊∥⌭⌒⌓○⌀ⓂⓁⓈ]') or regexp_matches(text, '(?i)\\b(ANGULARITY|CIRCULARITY|CONCENTRICITY|CYLINDRICITY|DATUM|FLATNESS|MMC|LMC|PARALLELISM|PERPENDICULARITY|POSITION|PROFILE|RUNOUT|STRAIGHTNESS|SYMMETRY|TOTAL\\s+RUNOUT)\\b'))"
 _NOTE = "regexp_matches(text, '(?i)\\b(GENERAL\\s+NOTES?|NOTES?|UNLESS\\s+OTHERWISE|DO\\s+NOT|TYP(ICAL)?|DEBURR|BREAK\\s+(ALL\\s+)?EDGES|REMOVE\\s+BURRS|MATERIAL|FINISH|WELD|SURFACE|HARDNESS|TORQUE|CLEAN)\\b')"
 _TOKEN = "trim(regexp_extract(text, '(?i)(^|\\s)(\\d+\\s*[xX]\\s*)?(R|SR|Ø|⌀|DIA\\.?|M)?\\s*(\\d+([.,]\\d+)?|[.,]\\d+)(\\s*/\\s*\\d+)?\\s*(MM|CM|M|IN|FT|°|DEG|\"|'')?(\\s*(±|\\+/-|\\+\\s*\\d|[-+]\\s*\\d|MAX\\b|MIN\\b|REF\\b|TYP\\b|THRU\\b|EQ\\s+SP))?', 0))"

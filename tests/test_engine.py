@@ -450,3 +450,46 @@ def test_settings_are_passed(spark):
     assert compare_entities(entity_rows(spark, rows)).matches.count() == 0
     assert compare_entities(entity_rows(spark, rows), replace(wide, structural_score=0.5)).matches.count() == 1
     assert xy(1, 2) == {"x": 1.0, "y": 2.0} and F.lit(1) is not None
+
+
+def test_backends_agree(spark):
+    from conftest import SMALL
+
+    from revlake.operators.alignment import align
+    from revlake.operators.backend import NATIVE, PlainBackend
+    from revlake.operators.matching import match_entities
+    from revlake.sources.tables import synthetic_pair
+
+    entities = synthetic_pair(spark.read.parquet(f"{SMALL}/orders.parquet").where("o_orderkey < 500"))
+    plain = PlainBackend()
+    points = entities.where("side = 'old'").withColumns({"x": F.col("anchor.x"), "y": F.col("anchor.y")})
+    near = [sorted((r.id, r["rank"], round(r.d, 9)) for r in b.nearest_neighbours(points, ["page_index"], "id", "x", "y", 5).collect()) for b in (NATIVE, plain)]
+    assert near[0] == near[1] and len(near[0]) == 5 * points.count()
+    transforms = align(entities)
+    found = [sorted((r.old_id, r.new_id, r.tier, round(r.score, 6)) for r in match_entities(entities, transforms, backend=b).matches.collect()) for b in (NATIVE, plain)]
+    assert found[0] == found[1] and {t for *_, t, _ in found[0]} >= {"exact", "attribute"}
+
+
+def test_scan_of_files(spark, tmp_path):
+    from revlake.operators.validation import scan_files
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 and more")
+    (tmp_path / "b.pdf").write_bytes(b"PK")
+    (tmp_path / "c.pdf").write_bytes(b"")
+    got = {r.file_name: (r.size_bytes, r.header) for r in scan_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": (17, "%PDF-"), "b.pdf": (2, "PK")}
+
+
+def test_output_apart_from_source():
+    from revlake.cli import overlaps
+
+    assert overlaps("/x/raw", "file:///x/raw/") and overlaps("/x/raw/out", "/x/raw") and not overlaps("/x/raw2", "/x/raw")
+
+
+def test_filter_folds_case(spark):
+    from revlake.operators.changes import filter_changes
+
+    rows = [(0, "added", "NOTE", "Straße 1", "d", "r", None, None, None), (0, "added", "NOTE", "STRASSE 2", "d", "r", None, "x", None), (1, "moved", "NOTE", "Weg", "d", "r", "exact", None, None)]
+    changes = spark.createDataFrame(rows, "page_index int, change_type string, category string, label string, detail string, relevance_reason string, match_tier string, before_text string, after_text string")
+    assert sorted(r.label for r in filter_changes(changes, "straße").collect()) == ["STRASSE 2", "Straße 1"]
+    assert [r.label for r in filter_changes(changes, "EXACT").collect()] == ["Weg"] and filter_changes(changes, "", []).count() == 0
