@@ -148,8 +148,8 @@ class Graph:
             active = active[(~opened[active] & (sims[active] > -2)).any(1)]
         return ids, sims
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) pairs of similarity >= least: the beam, then whatever links lead to from what was found."""
+    def within(self, q: np.ndarray, least: float, beam: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(query, vector) pairs of similarity >= least: the beam, then whatever links lead to from what was found. None: over `most` of them."""
         if not len(self.x) or not len(q):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         bottom = self.layers[-1]
@@ -165,7 +165,10 @@ class Graph:
         found = np.unique(r.astype(np.int64) * len(bottom.nodes) + ids[r, c])
         edge = found
         while len(edge):
-            r, v = edge // len(bottom.nodes), edge % len(bottom.nodes)
+            if most is not None and len(found) > most:
+                return None
+            now, edge = edge[:50_000], edge[50_000:]
+            r, v = now // len(bottom.nodes), now % len(bottom.nodes)
             near = bottom.links[v]
             source, bounds = self.back
             n = bounds[v + 1] - bounds[v]
@@ -173,19 +176,25 @@ class Graph:
             r, near = np.r_[np.repeat(r, near.shape[1]), np.repeat(r, n)], np.r_[near.ravel(), source[at]]
             key = np.unique((r * len(bottom.nodes) + near)[near >= 0])
             key = key[~np.isin(key, found, assume_unique=True)]
-            edge = []
-            for lo in range(0, len(key), 200_000):
-                x = key[lo : lo + 200_000]
+            fresh = [edge]
+            for lo in range(0, len(key), 50_000):
+                x = key[lo : lo + 50_000]
                 s = np.einsum("id,id->i", q[x // len(bottom.nodes)], self.x[bottom.nodes[x % len(bottom.nodes)]])
-                edge.append(x[s >= least])
-            edge = np.concatenate(edge) if edge else np.empty(0, np.int64)
-            found = np.union1d(found, edge)
+                fresh.append(x[s >= least])
+            found = np.union1d(found, np.concatenate(fresh[1:])) if len(fresh) > 1 else found
+            edge = np.concatenate(fresh)
         return found // len(bottom.nodes), bottom.nodes[found % len(bottom.nodes)].astype(np.int64)
 
+    def parts_within(self, q: np.ndarray, least: float, rows: int = 8192):
+        """The same pairs as within, none missed: products of the queries with all vectors, in blocks of them, a block's pairs at a time."""
+        for lo in range(0, len(self.x), rows):
+            r, c = np.nonzero(q @ self.x[lo : lo + rows].T >= least)
+            yield r, lo + c
+
     def all_within(self, q: np.ndarray, least: float, rows: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-        """The same pairs as within, none missed: products of the queries with all vectors, in blocks of them."""
-        hits = [(r, lo + c) for lo in range(0, len(self.x), rows) for r, c in [np.nonzero(q @ self.x[lo : lo + rows].T >= least)]]
-        return tuple(np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, np.int64), np.empty(0, np.int64))
+        """All pairs of parts_within at once."""
+        found = list(self.parts_within(q, least, rows))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def recall(self, least: float, beam: int, probes: int = 256, seed: int = 11) -> float:
         """Audit: share of sampled vectors that queries at exactly the least similarity to them find."""

@@ -396,6 +396,28 @@ def test_cut_off_vectors_are_found():
     assert sorted(zip(r.tolist(), c.tolist(), strict=True)) == sorted((int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.9))
 
 
+def test_hits_of_dense_shards_are_bounded():
+    """Groups of near copies: no part of the hits is larger than 512 queries by a block, and none is lost."""
+    import tracemalloc
+
+    from revlake.llm.embed_dedup import hits, join
+    from revlake.llm.hnsw import Graph
+
+    rng = np.random.default_rng(5)
+    x = 1 + 0.1 * rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, up, count = Graph(x), np.arange(3000), 0
+    tracemalloc.start()
+    for r, c in hits(graph, x, 0.9, 32, 256):
+        assert len(r) <= 512 * 256
+        join(up, r, c)
+        count += len(r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == (x.astype(np.float32) @ x.astype(np.float32).T >= 0.9).sum() > 8_000_000 and (up == 0).all()
+    assert peak < 100_000_000  # all pairs at once: 16 bytes each, over 128 MB
+
+
 def test_sentencepiece(spark, docs, odd):
     import sentencepiece
 
